@@ -6,9 +6,11 @@ collision-corrected similarity of two signatures comes from bit counts (in SQL f
 the threshold go. What is left is confirmed on the full sets, made anew from the texts.
 
 Copies (equal sets) are one node from the start, so a group of thousands of copies costs no
-pair. Within a bucket all pairs are never listed: each member is first paired with the bucket's
-two hubs (its least and greatest node). Only in buckets that still hold several components are the
-pairs across components listed, and only those whose signatures and sizes allow a link.
+pair. Within a bucket all pairs are never listed: members are held against a few hubs (the least
+and greatest node, a second hub for those far from the first, the most central member). A pair of
+two members can then be ruled out by what each has in common with the hub's group (see _across);
+only pairs across components that this bound leaves open are confirmed one by one, so
+no link is lost.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no band with a probability of 5e-8,
 and the estimate of a true link falls below LEAST_ESTIMATE with one of 1e-9.
@@ -33,6 +35,10 @@ from .components import connected
 BANDS, ROWS, BITS = 32, 4, 4
 PERMUTATIONS = BANDS * ROWS
 LEAST_ESTIMATE = 0.58
+#: Estimated similarity from which a member of a bucket is held against the bucket's hub in full.
+NEAR = 0.5
+#: Members of a group that must hold a shingle beyond the hub for it to count as the group's.
+OFTEN = 8
 #: At most so many ids are broadcast to fetch the texts of candidates; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 SEED = 4
@@ -111,16 +117,25 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - different / F.lit(float(PERMUTATIONS)) - by_chance) / (1 - by_chance)
 
 
+def _sized(a: str, b: str, percent: int) -> Column:
+    return F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) * 100 >= F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) * percent
+
+
 def _likely(a: str, b: str, percent: int) -> Column:
     """Neither the sizes nor the signatures rule a link out."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= LEAST_ESTIMATE - (0.8 - percent / 100))
+    return _sized(a, b, percent) & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= LEAST_ESTIMATE - (0.8 - percent / 100))
+
+
+def _with_sketches(pairs: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the structs p and q of their set sizes and signatures."""
+    return pairs.join(small.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(small.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
 
 
 def confirmed(pairs: DataFrame, df: DataFrame, id_column: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """(a, b, na, nb, both, link, novel) of pairs (a, b, grouped) from their full sets: the sizes, that of the
+    intersection, whether 100 * both >= percent * union, and for grouped pairs the shingles of b that a lacks."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -129,17 +144,59 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_column: str, text: str, k: int
         for frame in frames:
             # Rows come in the order of a, whose text most neighbours share.
             known: dict[str, np.ndarray] = {}
-            links = []
-            for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
+            out = []
+            for a, b, grouped, ta, tb in zip(frame["a"], frame["b"], frame["grouped"], frame["ta"], frame["tb"], strict=True):
                 if ta not in known:
                     known = {ta: shingle_sets([ta.encode()], k)[0]}
                 x, y = known[ta], shingle_sets([tb.encode()], k)[0]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    links.append((a, b))
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return rows.mapInPandas(run, "a long, b long").distinct()
+                novel = np.setdiff1d(y, x, assume_unique=True).view(np.int64) if grouped else None
+                out.append((a, b, len(x), len(y), both, 100 * both >= percent * (len(x) + len(y) - both), novel))
+            yield pd.DataFrame(out, columns=["a", "b", "na", "nb", "both", "link", "novel"])
+
+    return rows.mapInPandas(run, "a long, b long, na long, nb long, both long, link boolean, novel array<long>")
+
+
+def _across(tested: DataFrame, near: DataFrame, far: DataFrame, found: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that may still be linked, after every member of a group was held against its hub.
+
+    For any set P, |x & y| <= min(|x & P|, |y & P|) + |(x - P) & (y - P)|. P is the hub with all shingles that OFTEN or
+    more of its group have beyond it, so the last part is found by a join on shingles that few hold, and
+    the first by the counts alone. A link needs (100 + percent) * |x & y| >= percent * (|x| + |y|)."""
+    comp = found.select(F.col("node").alias("x"), "component")
+    rare = near.select("h", "x", F.explode("novel").alias("g"))
+    often = rare.groupBy("h", "g").agg(F.count("*").alias("holders"))
+    rare = common.written(rare.join(often, ["h", "g"]).join(comp, "x", "left").withColumn("c", F.coalesce("component", "x")).select("h", "x", "g", "holders", "c"), "novel")
+    gained = rare.filter(F.col("holders") >= OFTEN).groupBy("h", "x").agg(F.count("*").alias("gain"))
+    sized = near.select("h", "x", "n", "both").join(gained, ["h", "x"], "left").join(comp, "x", "left")
+    sized = common.written(sized.select("h", "x", "n", (F.col("both") + F.coalesce("gain", F.lit(0))).alias("cover"), F.coalesce("component", "x").alias("c")), "groups")
+    need = lambda m, n: m * (100 + percent) >= percent * n
+    # Covered by P alone. The most common component of a group is linked already; one side lies outside it.
+    main = sized.groupBy("h", "c").agg(F.count("*").alias("m"), F.min("n").alias("least")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.min("least").alias("least"))
+    outside = sized.join(main, "h").filter((F.col("c") != F.col("main")) & need(F.col("cover"), F.col("n") + F.col("least")))
+    outside = outside.select("h", F.col("x").alias("a"), F.col("n").alias("na"), F.col("cover").alias("va"), F.col("c").alias("ca"))
+    other = sized.select("h", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("cover").alias("vb"), F.col("c").alias("cb"))
+    by_cover = outside.join(other, "h").filter((F.col("ca") != F.col("cb")) & need(F.least("va", "vb"), F.col("na") + F.col("nb"))).select("a", "b")
+    # With shingles that fewer than OFTEN hold.
+    few = rare.filter((F.col("holders") > 1) & (F.col("holders") < OFTEN))
+    split = few.groupBy("h", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h", "g")
+    few = few.join(split, ["h", "g"])
+    shared = few.select("h", "g", F.col("x").alias("a"), F.col("c").alias("ca")).join(few.select("h", "g", F.col("x").alias("b"), F.col("c").alias("cb")), ["h", "g"])
+    shared = shared.filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).groupBy("h", "a", "b").agg(F.count("*").alias("more"))
+    shared = shared.join(_side(sized, "a"), ["h", "a"]).join(_side(sized, "b"), ["h", "b"]).filter(need(F.least("va", "vb") + F.col("more"), F.col("na") + F.col("nb"))).select("a", "b")
+    # Members of a bucket far from its hubs, against its other members.
+    comp = comp.withColumnRenamed("x", "node")
+    far = far.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).join(small, "node")
+    left = far.filter(F.col("e0") < NEAR).select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("e1").alias("ea"), F.col("s").alias("p"))
+    right = far.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("e1").alias("eb"), F.col("s").alias("q"))
+    apart = left.join(right, "key").filter((F.col("ca") != F.col("cb")) & (F.least("ea", "eb") < NEAR) & _likely("p", "q", percent)).select("a", "b")
+    pairs = by_cover.unionAll(shared).unionAll(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _with_sketches(pairs, small).filter(_likely("p", "q", percent)).select("a", "b")
+    return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+
+
+def _side(sized: DataFrame, side: str) -> DataFrame:
+    return sized.select("h", F.col("x").alias(side), F.col("n").alias(f"n{side}"), F.col("cover").alias(f"v{side}"))
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
@@ -148,28 +205,44 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int
     sets = rows.filter("n > 0 AND id IS NOT NULL")
     nodes = sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "nodes")
+    small = nodes.select("node", F.struct("n", "sig").alias("s"))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
     shared = common.written(keys.join(hubs, "key"), "buckets")
+    # Each member with the bucket's hubs; these are all pairs of a bucket of three.
     pairs = shared.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x != y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    small = nodes.select("node", F.struct("n", "sig").alias("s"))
-    pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(small.select(F.col("node").alias("b"), F.col("s").alias("q")), "b").filter(_likely("p", "q", percent))
-    tried = common.written(pairs.select("a", "b").distinct(), "pairs")
-    links = common.written(confirmed(tried, df, id_column, text, k, percent), "links")
-    first = common.written(connected(links), "components")
-    # Pairs across the components that meet in a bucket; buckets of three have been tried in full.
-    big = shared.filter("size > 3").select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    big = big.join(mixed, "key").join(small, "node").select("key", "node", "c", "s", F.floor(F.log(F.col("s.n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("size_class"))
-    left = big.select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("s").alias("p"), F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
-    right = big.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("s").alias("q"), "size_class")
-    across = left.join(right, ["key", "size_class"]).filter((F.col("cx") != F.col("cy")) & (F.col("p.n") <= F.col("q.n")) & _likely("p", "q", percent))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = common.written(across, "pairs")
-    found = first
+    pairs = _with_sketches(pairs, small).filter(_likely("p", "q", percent)).select("a", "b", F.lit(False).alias("grouped"))
+    # Larger buckets: how near each member is to the hub, and those far from it to a second hub.
+    big = shared.filter("size > 3").select("key", "node", "low")
+
+    def near_hub(members: DataFrame, hub: str, name: str) -> DataFrame:
+        to = members.select(F.col(hub).alias("a"), F.col("node").alias("b")).distinct()
+        to = _with_sketches(to, small).select(F.col("a").alias(hub), F.col("b").alias("node"), estimate(F.col("p.sig"), F.col("q.sig")).alias(name))
+        return members.join(to, [hub, "node"])
+
+    big = common.written(near_hub(big, "low", "e0"), "near-hub")
+    second = big.filter(F.col("e0") < NEAR).groupBy("key").agg(F.min("node").alias("hub"))
+    big = common.written(near_hub(big.join(second, "key"), "hub", "e1").unionByName(big.join(second, "key", "left_anti"), allowMissingColumns=True), "near-hubs")
+    grouped = big.filter(F.col("e0") >= NEAR).select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(big.filter(F.col("e1") >= NEAR).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    grouped = grouped.filter("a != b").distinct().withColumn("grouped", F.lit(True))
+    tested = common.written(pairs.unionAll(grouped).groupBy("a", "b").agg(F.max("grouped").alias("grouped")), "pairs")
+    first = common.written(confirmed(tested, df, id_column, text, k, percent), "confirmed")
+    near = first.filter("novel IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("x"), F.col("nb").alias("n"), "both", "novel")
+    # A third hub for groups: the member that covers most of what the group has in common.
+    counted = near.select("h", "x", "n", "both", F.explode_outer("novel").alias("g"))
+    counted = counted.join(counted.filter("g IS NOT NULL").groupBy("h", "g").agg(F.count("*").alias("m")).filter(F.col("m") >= OFTEN), ["h", "g"], "left")
+    central = counted.groupBy("h", "x").agg((F.max("both") * 2 + F.count("m") * 2 - F.max("n")).alias("inner"))
+    central = central.groupBy("h").agg(F.max_by("x", F.struct("inner", "x")).alias("hub"), F.count("*").alias("m")).filter("m > 2")
+    star = near.join(central, "h").select(F.col("hub").alias("y"), "x").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    star = star.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    star = common.written(_with_sketches(star, small).filter(_likely("p", "q", percent)).select("a", "b", F.lit(False).alias("grouped")), "pairs")
+    links = first.filter("link").select("a", "b").unionAll(common.written(confirmed(star, df, id_column, text, k, percent).filter("link").select("a", "b"), "links"))
+    found = common.written(connected(links), "components")
+    across = _across(tested.select("a", "b").unionAll(star.select("a", "b")), near, big, found, small, percent)
+    across = common.written(across.withColumn("grouped", F.lit(False)), "pairs")
     if not across.isEmpty():
-        more = common.written(confirmed(across, df, id_column, text, k, percent), "links")
+        more = common.written(confirmed(across, df, id_column, text, k, percent).filter("link").select("a", "b"), "links")
         if not more.isEmpty():
             found = common.written(connected(links.unionAll(more)), "components")
     whole = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
