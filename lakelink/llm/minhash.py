@@ -37,8 +37,8 @@ PERMUTATIONS = BANDS * ROWS
 LEAST_ESTIMATE = 0.58
 #: Estimated similarity from which a member of a bucket is held against the bucket's hub in full.
 NEAR = 0.5
-#: Members of a group that must hold a shingle beyond the hub for it to count as the group's.
-OFTEN = 8
+#: A shingle that the hub lacks counts as its group's if so many members, and one of so many, hold it.
+OFTEN, OFTEN_SHARE = 8, 10
 #: At most so many ids are broadcast to fetch the texts of candidates; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 SEED = 4
@@ -157,17 +157,23 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_column: str, text: str, k: int
     return rows.mapInPandas(run, "a long, b long, na long, nb long, both long, link boolean, novel array<long>")
 
 
+def _enough(members: Column) -> Column:
+    """Holders from which a shingle is one of its group's."""
+    return F.greatest(F.lit(OFTEN), members / OFTEN_SHARE)
+
+
 def _across(tested: DataFrame, near: DataFrame, far: DataFrame, found: DataFrame, small: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that may still be linked, after every member of a group was held against its hub.
 
-    For any set P, |x & y| <= min(|x & P|, |y & P|) + |(x - P) & (y - P)|. P is the hub with all shingles that OFTEN or
-    more of its group have beyond it, so the last part is found by a join on shingles that few hold, and
+    For any set P, |x & y| <= min(|x & P|, |y & P|) + |(x - P) & (y - P)|. P is the hub with all shingles that enough
+    of its group have beyond it, so the last part is found by a join on shingles that few hold, and
     the first by the counts alone. A link needs (100 + percent) * |x & y| >= percent * (|x| + |y|)."""
     comp = found.select(F.col("node").alias("x"), "component")
     rare = near.select("h", "x", F.explode("novel").alias("g"))
-    often = rare.groupBy("h", "g").agg(F.count("*").alias("holders"))
-    rare = common.written(rare.join(often, ["h", "g"]).join(comp, "x", "left").withColumn("c", F.coalesce("component", "x")).select("h", "x", "g", "holders", "c"), "novel")
-    gained = rare.filter(F.col("holders") >= OFTEN).groupBy("h", "x").agg(F.count("*").alias("gain"))
+    members = near.groupBy("h").agg(F.count("*").alias("members"))
+    often = rare.groupBy("h", "g").agg(F.count("*").alias("holders")).join(members, "h").select("h", "g", "holders", (F.col("holders") >= _enough(F.col("members"))).alias("often"))
+    rare = common.written(rare.join(often, ["h", "g"]).join(comp, "x", "left").withColumn("c", F.coalesce("component", "x")).select("h", "x", "g", "holders", "often", "c"), "novel")
+    gained = rare.filter("often").groupBy("h", "x").agg(F.count("*").alias("gain"))
     sized = near.select("h", "x", "n", "both").join(gained, ["h", "x"], "left").join(comp, "x", "left")
     sized = common.written(sized.select("h", "x", "n", (F.col("both") + F.coalesce("gain", F.lit(0))).alias("cover"), F.coalesce("component", "x").alias("c")), "groups")
     need = lambda m, n: m * (100 + percent) >= percent * n
@@ -177,8 +183,8 @@ def _across(tested: DataFrame, near: DataFrame, far: DataFrame, found: DataFrame
     outside = outside.select("h", F.col("x").alias("a"), F.col("n").alias("na"), F.col("cover").alias("va"), F.col("c").alias("ca"))
     other = sized.select("h", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("cover").alias("vb"), F.col("c").alias("cb"))
     by_cover = outside.join(other, "h").filter((F.col("ca") != F.col("cb")) & need(F.least("va", "vb"), F.col("na") + F.col("nb"))).select("a", "b")
-    # With shingles that fewer than OFTEN hold.
-    few = rare.filter((F.col("holders") > 1) & (F.col("holders") < OFTEN))
+    # With shingles that fewer hold.
+    few = rare.filter("holders > 1 AND NOT often")
     split = few.groupBy("h", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h", "g")
     few = few.join(split, ["h", "g"])
     shared = few.select("h", "g", F.col("x").alias("a"), F.col("c").alias("ca")).join(few.select("h", "g", F.col("x").alias("b"), F.col("c").alias("cb")), ["h", "g"])
@@ -231,7 +237,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int
     near = first.filter("novel IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("x"), F.col("nb").alias("n"), "both", "novel")
     # A third hub for groups: the member that covers most of what the group has in common.
     counted = near.select("h", "x", "n", "both", F.explode_outer("novel").alias("g"))
-    counted = counted.join(counted.filter("g IS NOT NULL").groupBy("h", "g").agg(F.count("*").alias("m")).filter(F.col("m") >= OFTEN), ["h", "g"], "left")
+    counted = counted.join(counted.filter("g IS NOT NULL").groupBy("h", "g").agg(F.count("*").alias("m")).join(near.groupBy("h").agg(F.count("*").alias("members")), "h").filter(F.col("m") >= _enough(F.col("members"))), ["h", "g"], "left")
     central = counted.groupBy("h", "x").agg((F.max("both") * 2 + F.count("m") * 2 - F.max("n")).alias("inner"))
     central = central.groupBy("h").agg(F.max_by("x", F.struct("inner", "x")).alias("hub"), F.count("*").alias("m")).filter("m > 2")
     star = near.join(central, "h").select(F.col("hub").alias("y"), "x").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
