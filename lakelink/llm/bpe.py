@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Fragments whose ids a worker keeps; beyond it the store starts anew.
-KEPT_FRAGMENTS = 200_000
+KEPT_FRAGMENTS = 80_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -15,7 +15,7 @@ from ..shipping import ship
 #: Rows of one Arrow batch; with long texts a worker then holds tens of MB.
 ARROW_ROWS = 512
 #: Bytes of text that the numpy kernels take at once (a longer single text goes alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: A run of characters that are not ASCII white space (a regular expression for Java and for DuckDB).
 WORD = r"[^\x20\x09-\x0D]+"
 M64 = (1 << 64) - 1
