@@ -36,7 +36,7 @@ _SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key
 _NAME = r"[^\W\d_]{2,30}"
 _MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "господин", "κύριος")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Signora", "госпожа", "κυρία")
-_TITLES = "|".join(sorted((*_MALE, *_FEMALE, "Dr", "Prof", "Mx"), key=len, reverse=True))
+_TITLES = "|".join(sorted({f(t) for t in (*_MALE, *_FEMALE, "Dr", "Prof", "Mx") for f in (str, str.upper)}, key=len, reverse=True))
 
 #: (kind, what a text must hold, pattern), first come first served where matches overlap.
 PATTERNS: list[tuple[str, re.Pattern | str, re.Pattern]] = [
@@ -235,19 +235,25 @@ def replaced(text: str, maker: Surrogates) -> tuple[str, list[str]]:
         if kind != "name":
             continue
         title = re.search(rf"({_TITLES})\b\.?[ ]$", text[max(0, a - 20) : a])
-        gender = "m" if title and title[1] in _MALE else "f" if title and title[1] in _FEMALE else "-"
+        said = title[1].casefold() if title else ""
+        gender = "m" if said in {t.casefold() for t in _MALE} else "f" if said in {t.casefold() for t in _FEMALE} else "-"
         parts = [x for x in re.split(r"[ -]", text[a:b]) if x[:1].isupper()]
         for i, part in enumerate(parts):
             attempt = 0
-            while part not in names:
-                s = maker.name_part(part, gender, given=i < len(parts) - 1, attempt=attempt)
-                if s not in names.values() and s != part:
-                    names[part] = s
+            while (known := part.casefold()) not in names:
+                made = maker.name_part(known.capitalize(), gender, given=i < len(parts) - 1, attempt=attempt)
+                if made not in names.values() and made.casefold() != known:
+                    names[known] = made
                 attempt += 1
-    bare = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)") if names else None
+    bare = re.compile(r"(?i)(?<!\w)(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)") if names else None
+
+    def again(m: re.Match) -> str:
+        made = names.get(m[1].casefold())
+        # Lower-case words of the same letters are no names.
+        return m[1] if made is None or not m[1][:1].isupper() else made.upper() if m[1].isupper() and len(m[1]) > 1 else made
 
     def plain(part: str) -> str:
-        return bare.sub(lambda m: names[m[1]], part) if bare else part
+        return bare.sub(again, part) if bare else part
 
     out, at, kinds = [], 0, []
     for a, b, kind in spans:
