@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Fragments whose ids a worker keeps; beyond it the store starts anew.
-KEPT_FRAGMENTS = 80_000
+#: Words and fragments whose ids a worker keeps, twice each: when a store is full it becomes the old one, and
+#: what the old one held longer than that is forgotten.
+KEPT_FRAGMENTS = 40_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,6 +89,7 @@ class ForcedBoundaryBPE:
         self.cuts = (~self.joins).tolist()
         self.known: dict[tuple[bytes, bool], list[int]] = {}
         self.known_words: dict[str, list[int]] = {}
+        self.old_words: dict[str, list[int]] = {}
 
     def fragments(self, word: bytes) -> list[tuple[bytes, bool]]:
         """(fragment, whether it ends the word) between the forced boundaries."""
@@ -167,10 +169,13 @@ class ForcedBoundaryBPE:
             for word in self.words.findall(part):
                 ids = known.get(word)
                 if ids is None:
-                    ids = self._word(word.encode())
+                    ids = self.old_words.get(word)
+                    if ids is None:
+                        ids = self._word(word.encode())
                     if len(word) <= 64:
                         if len(known) >= KEPT_FRAGMENTS:
-                            known.clear()
+                            self.old_words, self.known_words = known, {}
+                            known = self.known_words
                         known[word] = ids
                 out += ids
         return out
