@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from . import common
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+_added: set[tuple[str, str]] = set()
 _URL = re.compile(r"(?s)://([^/?#]*)([^?#]*)")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -122,9 +123,11 @@ def judged(df: DataFrame, rules: list[tuple[str, str]] = RULES, url: str = "url"
     keep = common.kept(df.columns if keep is None else keep, new)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in new])
     paths = DigestArray.write(tempfile.mkdtemp(prefix="url-rules-"), rules)  # the driver's copy; addFile hands it out
-    for p in paths:
-        spark.sparkContext.addFile(p)
-    names = [os.path.basename(p) for p in paths]
+    names = [os.path.basename(p) for p in paths]  # with a digest of the rules; a name can be added only once
+    for p, name in zip(paths, names, strict=True):
+        if (key_ := (spark.sparkContext.applicationId, name)) not in _added:
+            spark.sparkContext.addFile(p)
+            _added.add(key_)
     lengths, labels = DigestArray.open(paths).lengths()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
