@@ -55,7 +55,7 @@ WP = f"WITH {adapters.PEOPLE_SQL}, {normalize.NORM_SQL}, {blocking.SIDES_SQL}"
 
 
 def _cand(spark, sf_dir, norm=None) -> DataFrame:
-    return blocking.candidates(blocking.channel_pairs(_norm(spark, sf_dir) if norm is None else norm))
+    return blocking.candidates(blocking.channel_pairs(_norm(spark, sf_dir) if norm is None else norm, first=blocking.MAX_CANDIDATES))
 
 
 @query(f"{WD} SELECT entity_id, country, n_name, n_addr, n_sorted, n_core_sorted, a_sorted, array_to_string(name_tokens, '|') AS name_tokens, array_to_string(addr_tokens, '|') AS addr_tokens, array_to_string(name_nums, '|') AS name_nums, array_to_string(addr_nums, '|') AS addr_nums FROM norm")

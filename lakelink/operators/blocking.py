@@ -25,18 +25,28 @@ def token_postings(targets: DataFrame, max_df: int = MAX_TOKEN_DF) -> DataFrame:
     return rows.join(df, ["kind", "token"])
 
 
-def channel_pairs(norm: DataFrame, max_df: int = MAX_TOKEN_DF) -> DataFrame:
-    """(sid, tid, prio) of all channels, each pair once in each channel."""
+def _least(targets: DataFrame, keys: list[str], first: int | None) -> DataFrame:
+    """The first targets of each key: a cap of as many within a channel never reaches beyond them."""
+    if first is None:
+        return targets
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("tid"))
+    return targets.withColumn("rn", rank).filter(F.col("rn") <= first).drop("rn")
+
+
+def channel_pairs(norm: DataFrame, max_df: int = MAX_TOKEN_DF, first: int | None = None) -> DataFrame:
+    """(sid, tid, prio) of all channels, each pair once in each channel; with `first`, only what a cap of
+    as many targets within a channel can keep."""
     s1, targets = sides(norm)
     out = []
     for prio, key in EXACT:
         left = s1.filter(F.col(key).isNotNull()).select(F.col("entity_id").alias("sid"), "country", F.col(key).alias("k"))
         right = targets.filter(F.col(key).isNotNull()).select(F.col("entity_id").alias("tid"), "country", F.col(key).alias("k"))
+        right = _least(right, ["country", "k"], first)
         out.append(left.join(right, ["country", "k"]).select("sid", "tid", F.lit(prio).alias("prio")))
     postings = token_postings(targets, max_df)
     for prio, kind, col in RARE:
         left = s1.select(F.col("entity_id").alias("sid"), "country", F.explode(F.array_distinct(col)).alias("token"))
-        right = postings.filter(F.col("kind") == kind).select(F.col("entity_id").alias("tid"), "country", "token")
+        right = _least(postings.filter(F.col("kind") == kind).select(F.col("entity_id").alias("tid"), "country", "token"), ["country", "token"], first)
         out.append(left.join(right, ["country", "token"]).select("sid", "tid", F.lit(prio).alias("prio")).distinct())
     return reduce(DataFrame.unionAll, out)
 

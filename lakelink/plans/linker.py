@@ -17,7 +17,7 @@ def run(spark: SparkSession, entities: DataFrame, gold: DataFrame, folder: str,
     k1 = fingerprint({"stage": "norm"}, input_key)
     norm = cache.get(spark, "norm", k1, lambda: normalized(entities))
     k2 = fingerprint({"stage": "candidates", "cap": cap, "max_df": max_df}, k1)
-    cand = cache.get(spark, "candidates", k2, lambda: blocking.candidates(blocking.channel_pairs(norm, max_df), cap))
+    cand = cache.get(spark, "candidates", k2, lambda: blocking.candidates(blocking.channel_pairs(norm, max_df, cap), cap))
     k3 = fingerprint({"stage": "features"}, k2)
     feat = cache.get(spark, "features", k3, lambda: features.pair_features(cand, norm))
     weights, intercept, threshold = scoring.fit_and_tune(feat, gold, norm, features.COLUMNS)
