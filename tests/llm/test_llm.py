@@ -303,6 +303,44 @@ def test_substrings(spark, odd):
     assert substrings.repeated_passages(odd).count() == 0 and substrings.repeated_passages(odd.limit(0)).count() == 0
 
 
+def _edited(r, words, at):
+    """words with those at the places `at` changed."""
+    return [f"e{r.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_substrings_below_threshold_hubs(spark):
+    r = random.Random(17)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    given, want = {}, set()
+    for case in range(40):
+        passage, first = fresh(56), case * 20
+        for i in range(10):  # variants of the passage with three to five changed words, below 0.8
+            given[first + i] = fresh(10) + _edited(r, passage, set(r.sample(range(4, 52), r.randrange(3, 6)))) + fresh(10)
+        for i in range(10, 16):  # single phrases of it
+            at = r.randrange(0, 26)
+            given[first + i] = fresh(30) + passage[at : at + 30] + fresh(30)
+        for i in (18, 19):
+            given[first + i] = fresh(20) + passage + fresh(20)
+            want.add(first + i)
+    rows = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")).collect()
+    held = {x.id: x for x in rows if x.start_word <= 20 and x.end_word >= 76}
+    assert want <= set(held)
+    # Brute force: a document with a row holds a passage of another by the shingles' likeness.
+    cut = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in given.items()}
+    assert all(any(len(cut[x.id] & cut[o]) >= 36 for o in given if o != x.id) for x in rows)
+
+
+def test_substrings_all_places():
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    for _ in range(20):
+        passage = fresh(60)
+        a = fresh(30) + _edited(r, passage, {10, 25, 40, 50}) + fresh(80) + passage + fresh(30)  # a variant comes first
+        b = fresh(20) + passage + fresh(20)
+        pa, pb = (substrings.Prepared(substrings.tokens([" ".join(w).encode()])[0]) for w in (a, b))
+        assert any(a0 <= 170 and a1 >= 230 and b0 <= 20 and b1 >= 80 for a0, a1, b0, b1, _ in substrings.passages(pa, pb))
+
+
 def test_compact_windows():
     r = np.random.default_rng(3)
     for n in (30, 46, 60, 300):
