@@ -6,10 +6,12 @@ its length, marks and check digits, an address its form, a name its gender, scri
 
 Everything but names goes through a keyed permutation of all strings of the same format (a Feistel
 network over the mixed-radix number that the string spells, walked until the value is of the type
-again). A permutation maps different originals to different surrogates and the same original to the
+again; secrets of more than BLOCK characters in blocks, each by a permutation of its place). Letters and
+digits of other scripts change within their Unicode block and category, marks only where a secret has
+nothing else. A permutation maps different originals to different surrogates and the same original to the
 same surrogate in every document, on every worker, with no state to share. Names are spelled from a
-keyed digest of the name, so they agree across documents too; within a document a collision of two
-names takes the next digest. Later bare mentions of a titled name are replaced as well.
+keyed digest of the name, so they agree across documents but for collisions: within a document the
+second of two colliding names takes the next digest, across documents different names may share a surrogate. Later bare mentions of a titled name are replaced as well.
 
 Defined results: a null text stays null with 0 entities; empty texts and texts without entities
 stay as they are. Whole texts are scanned. Repeated rows get equal results.
@@ -17,6 +19,7 @@ stay as they are. Whole texts are scanned. Repeated rows get equal results.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import re
@@ -31,6 +34,9 @@ from . import common
 
 KEY = b"lakelink surrogate key"  # give your own to surrogates()
 ROUNDS = 8
+#: Characters of a secret that one permutation takes.
+BLOCK = 256
+_MARKS = "!#$%&()*+-./:=?@[\\]^_`{|}~"  # ASCII marks that a secret may hold
 
 _SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)"
 _NAME = r"[^\W\d_]{2,30}"
@@ -41,7 +47,7 @@ _TITLES = "|".join(sorted({f(t) for t in (*_MALE, *_FEMALE, "Dr", "Prof", "Mx")
 #: (kind, what a text must hold, pattern), first come first served where matches overlap.
 PATTERNS: list[tuple[str, re.Pattern | str, re.Pattern]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?i)passw|pwd|secret|token|key"), re.compile(_SECRET + r"([^\s\"',;<>]{6,256})")),
+    ("secret", re.compile(r"(?i)passw|pwd|secret|token|key"), re.compile(_SECRET + r"([^\s\"',;<>]{6,})")),
     ("access_key", re.compile("A(?:KIA|SIA|IDA|ROA)"), re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA|IDA|ROA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")),
@@ -52,6 +58,16 @@ PATTERNS: list[tuple[str, re.Pattern | str, re.Pattern]] = [
 ]
 
 
+@functools.cache
+def _alphabet(block: int, category: str) -> str:
+    """The characters beyond ASCII of a Unicode block (of 256) and category."""
+    return "".join(c for c in map(chr, range(max(128, block << 8), block + 1 << 8)) if unicodedata.category(c) == category)
+
+
+def _hexa(s: str) -> bool:
+    return bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))
+
+
 class Permutation:
     """Keyed permutations of the strings of one format."""
 
@@ -83,7 +99,9 @@ class Permutation:
 
     def spell(self, kind: str, s: str, free: str, fits: Callable[[str], bool] = lambda _: True) -> str:
         """s with the letters and digits marked '1' in free replaced; cases and all else stay."""
-        hexa = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s)) and kind == "secret"
+        secret = kind.startswith("secret")
+        hexa = secret and _hexa(s)
+        marks = secret and not any(c.isalnum() for c in s)
         sets, shape, x = [], [], 0
         for c, f in zip(s, free, strict=True):
             letters = ""
@@ -96,8 +114,13 @@ class Permutation:
                     letters = "abcdefghijklmnopqrstuvwxyz"
                 elif "A" <= c <= "Z":
                     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+                elif secret and c > "\x7f" and (marks or unicodedata.category(c)[0] in "LMN"):
+                    letters = _alphabet(ord(c) >> 8, unicodedata.category(c))
+                elif marks and c in _MARKS:
+                    letters = _MARKS
             sets.append(letters)
-            shape.append("h" if letters and hexa else {10: "9", 26: "a"}.get(len(letters), c))
+            # Letters of other alphabets are told by their first.
+            shape.append("h" if letters and hexa else "9" if letters[:1] == "0" else "a" if letters[:1] in ("a", "A") else f"<{letters[0]}>" if letters else c)
             if letters:
                 x = x * len(letters) + letters.index(c)
         size = 1
@@ -201,8 +224,15 @@ class Surrogates:
             return as_text(first + p.number("ip|" + str(group), int(ipaddress.IPv4Address(s)) - first, net.num_addresses, lambda y: _ip_class(as_text(first + y)) == group))
         if kind == "access_key":
             return p.spell(kind, s, "0000" + "1" * (len(s) - 4))
+        if kind == "secret":
+            return self.secret(s)
         return p.spell(kind, s, "1" * len(s))
 
+    def secret(self, s: str) -> str:
+        """Hexadecimal secrets stay so, and others never become so: they would meet the surrogates of the former."""
+        parts = [s[i : i + BLOCK] for i in range(0, len(s), BLOCK)]
+        return "".join(self.perm.spell(f"secret{i or ''}", part, "1" * len(part), lambda y, h=_hexa(part): _hexa(y) == h) for i, part in enumerate(parts))
+
 
 def found(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps."""

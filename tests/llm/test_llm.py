@@ -378,6 +378,26 @@ def test_pii(spark, odd):
     assert sorted((r.text or "0") for r in rows) == sorted((t or "0") for _, t, _ in ODD) and {r.n_entities for r in rows} == {0}
 
 
+def test_pii_whole_secrets():
+    m = pii.Surrogates()
+    r = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (255, 256, 257, 1000, 5000):
+        token = "".join(r.choice(chars) for _ in range(n))
+        out, kinds = pii.replaced(f"token={token} end", m)
+        made = out[6:-4]
+        assert kinds == ["secret"] and len(made) == n and out.endswith(" end") and out == pii.replaced(f"token={token} end", m)[0]
+        assert not any(token[i : i + 12] in made for i in range(n - 11))
+        other = token[:-1] + ("0" if token[-1] != "0" else "1")
+        assert pii.replaced(f"token={other} end", m)[0] != out
+    for secret in ("пароль", "Тайна", "密碼密碼密碼", "!!**!!##", "ключ-ключ", "रहस्यमय", "пароль" * 60):
+        secret = secret.ljust(6, "я")
+        out, kinds = pii.replaced(f"password: {secret}", m)
+        assert kinds == ["secret"] and secret not in out and len(out) == len(f"password: {secret}")
+    assert len({m.of("secret", f"парол{chr(c)}") for c in range(0x430, 0x460)}) == 0x30
+    assert len({m.of("secret", "!!!!" + a + b) for a in pii._MARKS for b in pii._MARKS}) == len(pii._MARKS) ** 2
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
