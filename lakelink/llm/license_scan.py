@@ -32,8 +32,9 @@ _WORD = r"[\p{Alnum}\x{80}-\x{10FFFF}]"
 #: Phrases of words (lower-cased) and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: Pieces (lower-cased) of which a text must hold one before any rule runs on it.
-GATE = ["licens", "licenc", "copyright", "gpl", "apache", "commons", "cc by", "cc-by", "cc_by", "cc\nby", "cc\tby", "cc0", "spdx", "public domain", "reserved", "wtfpl", "bsd", "permission is", "permission to", "redistribution", "proprietary", "unencumbered"]
+#: Pieces (lower-cased) of which a text must hold one before any rule runs on it: of single words, so that it does not
+#: matter what stands between the words of a rule.
+GATE = ["licens", "licenc", "copyright", "gpl", "apache", "commons", "cc by", "cc-by", "cc_by", "cc\nby", "cc\tby", "cc0", "spdx", "domain", "reserved", "wtfpl", "bsd", "permission", "redistribution", "proprietary", "unencumbered"]
 
 
 def signatures() -> list[tuple[str, str]]:

@@ -110,6 +110,16 @@ def test_license_overlaps(spark):
     assert [r.labels for r in rows] == ["apache-2,apache-2.0", "gpl-3-or-later", "cc-by-nc,cc-by-nc-sa-4.0"]
 
 
+def test_license_wrapped(spark):
+    """Each rule in its shortest form, its words joined, wrapped or with comment marks between: all labels and scores alike."""
+    rules = {" ".join(w.split("|")[0] for w in words.split() if not w.endswith("?")) for words, _ in license_scan.signatures()} | {p for p, _ in license_scan.BASE}
+    forms = [" ", "\n", "-", "\n * "]
+    given = [(i * len(forms) + j, mark.join(rule.split())) for i, rule in enumerate(sorted(rules)) for j, mark in enumerate(forms)]
+    out = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i in range(0, len(given), len(forms)):
+        assert out[i].labels and len({(out[i + j].labels, out[i + j].score) for j in range(len(forms))}) == 1, given[i]
+
+
 def _sets(texts, k):
     out = {}
     for i, t in texts.items():
