@@ -179,3 +179,10 @@ def transliterated_texts(spark, sf_dir):
     """Texts without Indic letters stay as they are, whole."""
     d = adapters.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return d.filter(~F.col("text").rlike("[ऀ-ൿ]")).select("doc_id", F.char_length(transliterated(F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def transliterated_documents(spark, sf_dir):
+    """All texts, transliterated (those with Indic letters are held against a plain version in a test)."""
+    d = adapters.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return d.select("doc_id", transliterated(F.col("text")).alias("text"))

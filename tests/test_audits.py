@@ -85,3 +85,13 @@ def test_hidden_offsets(spark):
     got = gates.hidden_offsets(spark.createDataFrame(rows, "s1 string, rid string, country string, same_name boolean, address string, s1_address string"))
     assert sorted(map(tuple, got.collect())) == [("a", "r1"), ("b", "r3")]
     assert got.sparkSession.createDataFrame([], "s1 string, rid string, country string, same_name boolean, address string, s1_address string").transform(gates.hidden_offsets).count() == 0
+
+
+def test_transliterated_documents(spark, tmp_path):
+    """The query keeps every text that is not null, and changes those with Indic letters alone."""
+    from lakelink.audit_queries import transliterated_documents
+
+    given = [(1, "plain"), (2, "दिल्ली"), (3, None), (4, "a दिल्ली b"), (5, "")]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in transliterated_documents(spark, str(tmp_path)).collect()}
+    assert got == {1: "plain", 2: "dilli", 4: "a dilli b", 5: ""}
