@@ -1,4 +1,4 @@
-"""Audits of links, keys and records."""
+"""Audits of links, keys and records."""
 
 from __future__ import annotations
 
@@ -109,7 +109,8 @@ def audit_keys(norm: DataFrame) -> DataFrame:
 
 
 def gram_candidates(norm: DataFrame, max_posting: int = 200, top: int = 30, q: int = GRAM) -> DataFrame:
-    """Targets that share q-grams of the compact name in postings of bounded size; evidence is the number of shared
+    """Targets that share q-grams of the compact name in postings of bounded size (larger ones are dropped whole, so this
+    is not B17); evidence is the number of shared
     grams over the grams of both. The best `top` an entity (ties: least id)."""
     compact = F.replace(F.coalesce("n_name", F.lit("")), F.lit(" "), F.lit(""))
     places = F.when(F.length(compact) >= q, F.sequence(F.lit(1), F.length(compact) - q + 1)).otherwise(F.array().cast("array<int>"))
