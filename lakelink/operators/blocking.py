@@ -1,4 +1,4 @@
-"""Candidate pairs by blocking channels (B1-B16) and by scored keys."""
+"""Candidate pairs by blocking channels (B1-B16) and by scored keys (B6-B9 in part: see the README)."""
 
 from __future__ import annotations
 
