@@ -59,6 +59,13 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """Rows (id, text) with the least text of each id; as they are where no id repeats (one count of the ids)."""
+    if docs.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs
+    return written(docs.groupBy("id").agg(F.min("text").alias("text")), "documents")
+
+
 def n_words(text: str = "text"):
     """Number of words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,8 +6,8 @@ collision-corrected similarity of two signatures comes from bit counts (in SQL f
 the threshold go. What is left is confirmed on the full sets, made anew from the texts.
 
 Copies (equal sets) are one node from the start, so a group of thousands of copies costs no
-pair. Within a bucket all pairs are never listed: members are held against a few hubs (the least
-and greatest node, a second hub for those far from the first, the most central member). A pair of
+pair. Within a bucket all pairs are never listed: members are held against a few hubs (one that the buckets
+of a family choose together, a second one for those far from it, the most central member). A pair of
 two members can then be ruled out by what each has in common with the hub's group (see _across);
 only pairs across components that this bound leaves open are confirmed one by one, so
 no link is lost.
@@ -17,7 +17,7 @@ and the estimate of a true link falls below LEAST_ESTIMATE with one of 1e-9.
 
 Defined results: null and empty texts have no set (n_shingles 0) and link with nothing; texts with fewer
 words than a shingle have one of all their words. Rows without an id link with nothing and are kept. Rows of
-an equal id are one node. Extra columns are not read.
+an equal id are one document, that of their least text, and all have its result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def _with_sketches(pairs: DataFrame, small: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, df: DataFrame, id_column: str, text: str, k: int, percent: int) -> DataFrame:
     """(a, b, na, nb, both, link, novel) of pairs (a, b, grouped) from their full sets: the sizes, that of the
     intersection, whether 100 * both >= percent * union, and for grouped pairs the shingles of b that a lacks."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
@@ -208,31 +208,38 @@ def _side(sized: DataFrame, side: str) -> DataFrame:
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of each row of df."""
     rows = common.written(signed(df, id_column, text, k), "signatures")
+    if not rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():
+        one = common.one_each(df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL"))
+        found = common.written(classes(one, "id", "text", k, percent), "classes")
+        nameless = rows.filter("id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        return rows.select("id").join(found, "id").unionByName(nameless)
     sets = rows.filter("n > 0 AND id IS NOT NULL")
     nodes = sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "nodes")
     small = nodes.select("node", F.struct("n", "sig").alias("s"))
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
-    shared = common.written(keys.join(hubs, "key"), "buckets")
-    # Each member with the bucket's hubs; these are all pairs of a bucket of three.
-    pairs = shared.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x != y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = _with_sketches(pairs, small).filter(_likely("p", "q", percent)).select("a", "b", F.lit(False).alias("grouped"))
-    # Larger buckets: how near each member is to the hub, and those far from it to a second hub.
-    big = shared.filter("size > 3").select("key", "node", "low")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
+    shared = common.written(keys.join(hubs, "key"), "shared")
+    # A node's buckets mostly hold the same others. Each node votes for the least node that it meets anywhere, and the buckets
+    # of a family take one hub, in the bucket or not: a member is held against one hub or a few, not against one a band.
+    voice = shared.groupBy("node").agg(F.min("low").alias("hub"))
+    votes = shared.select("key", "node").join(voice, "node").groupBy("key", "hub").agg(F.count("*").alias("votes"))
+    hubs = votes.groupBy("key").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("low"))
+    big = common.written(shared.select("key", "node").join(hubs, "key"), "buckets")
+    common.dropped(shared)
 
     def near_hub(members: DataFrame, hub: str, name: str) -> DataFrame:
         to = members.select(F.col(hub).alias("a"), F.col("node").alias("b")).distinct()
         to = _with_sketches(to, small).select(F.col("a").alias(hub), F.col("b").alias("node"), estimate(F.col("p.sig"), F.col("q.sig")).alias(name))
         return members.join(to, [hub, "node"])
 
+    # How near each member is to the hub, and those far from it to a second hub.
     big = common.written(near_hub(big, "low", "e0"), "near-hub")
     second = big.filter(F.col("e0") < NEAR).groupBy("key").agg(F.min("node").alias("hub"))
     big = common.written(near_hub(big.join(second, "key"), "hub", "e1").unionByName(big.join(second, "key", "left_anti"), allowMissingColumns=True), "near-hubs")
     grouped = big.filter(F.col("e0") >= NEAR).select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(big.filter(F.col("e1") >= NEAR).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     grouped = grouped.filter("a != b").distinct().withColumn("grouped", F.lit(True))
-    tested = common.written(pairs.unionAll(grouped).groupBy("a", "b").agg(F.max("grouped").alias("grouped")), "pairs")
+    tested = common.written(grouped, "pairs")
     first = common.written(confirmed(tested, df, id_column, text, k, percent), "confirmed")
     near = first.filter("novel IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("x"), F.col("nb").alias("n"), "both", "novel")
     # A third hub for groups: the member that covers most of what the group has in common.
@@ -253,8 +260,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int
             found = common.written(connected(links.unionAll(more)), "components")
     whole = nodes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "k1", "k2").join(whole, ["k1", "k2", "n"], "left")
-    # A row of an id that several sets share, or without a set, is of its own id's class.
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.least("component", "id"), F.col("id"))).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
