@@ -66,6 +66,11 @@ def one_each(docs: DataFrame) -> DataFrame:
     return written(docs.groupBy("id").agg(F.min("text").alias("text")), "documents")
 
 
+def rows_of(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows."""
+    return df.limit(most + 1).count() <= most
+
+
 def n_words(text: str = "text"):
     """Number of words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
