@@ -8,8 +8,8 @@ fingerprints is the share of equal tuples.
 
 One 64-bit hash h of an element gives all orders: order j ranks elements by h xor j * 2**58, so each
 order has its own zone of hash values as the least, then the neighbouring zones. Hence the two
-least elements of each zone suffice for all orders. Of long texts only elements with low
-hash bits can be among these; about CANDIDATES of them go on.
+least elements of each zone suffice for all orders, in texts of any length: one permutation cut in
+zones stands for independent ones, which would take as many hashes of each element.
 
 The next document's text comes by one shuffle: documents go to ranges of doc_id (buckets), the
 first document of a range also to the range before it, as its tail. All later windows and groups are
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from . import common
 
 PERMUTATIONS = 32
-CANDIDATES = 256
 PIECE = r"[^\x20\x09-\x0D]{1,12}"
 PLACE_BITS, HASH_BITS = 23, 40
 #: Partitions for each of the session's shuffle partitions: exploded k-mers need small ones.
@@ -94,19 +93,18 @@ def _signed(rows: DataFrame, by: list[str], texts: dict[str, Column], keep: dict
     kmers = rows.select(*by, "kind", "n", "pos", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("kept")).alias("kept"), F.xxhash64("pair.a", "pair.b").alias("kmer"))
     occurrence = F.row_number().over(Window.partitionBy("kmer", *by, "kind").orderBy("pos"))
     kmers = kmers.withColumn("h", F.shiftrightunsigned(F.xxhash64("kmer", occurrence), 64 - HASH_BITS))
-    low_bits = HASH_BITS - 5
-    low = F.col("h").bitwiseAND(F.lit((1 << low_bits) - 1).cast("long"))
-    few = (F.col("n") <= CANDIDATES) | (low * F.col("n") < F.lit(CANDIDATES).cast("double") * float(1 << low_bits))
     packed = F.shiftleft("h", PLACE_BITS).bitwiseOR(F.col("pos").cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")))
-    kmers = kmers.select(*by, "kind", "kept", F.when(F.col("pos").isNotNull() & few, packed).alias("e")).filter("e IS NOT NULL OR kept IS NOT NULL")
-    kmers = kmers.withColumn("zone", F.coalesce(F.shiftright("e", PLACE_BITS + low_bits), F.lit(-1)))
-    # The first column of a window's key orders cheaply if it tells rows apart.
-    kmers = kmers.withColumn("group", F.xxhash64(*by, "kind", "zone"))
-    least = F.row_number().over(Window.partitionBy("group", *by, "kind", "zone").orderBy("e"))
-    kmers = kmers.withColumn("rank", least).filter("rank <= 2 OR kept IS NOT NULL")
-    chosen = [F.collect_list(F.when((F.col("kind") == i) & (F.col("rank") <= 2), F.col("e"))).alias(f"__{n}") for i, n in enumerate(texts)]
+    kmers = kmers.select(*by, "kind", "kept", F.when(F.col("pos").isNotNull(), packed).alias("e"))
+    chosen = [F.collect_list(F.when(F.col("kind") == i, F.col("e"))).alias(f"__{n}") for i, n in enumerate(texts)]
     out = kmers.groupBy(*by).agg(F.max("kept").alias("kept"), *chosen)
-    return out.select(*by, "kept", *(_tuples(F.col(f"__{n}")).alias(n) for n in texts))
+    out = out.select(*by, "kept", *(F.sort_array(f"__{n}").alias(f"__{n}") for n in texts))
+    return out.select(*by, "kept", *(_tuples(_two_of_each_zone(F.col(f"__{n}"))).alias(n) for n in texts))
+
+
+def _two_of_each_zone(elements: Column) -> Column:
+    """The two least elements of each zone of a sorted array."""
+    zone = lambda e: F.shiftright(e, PLACE_BITS + HASH_BITS - 5)
+    return F.filter(elements, lambda e, i: F.coalesce(zone(F.get(elements, i - 2)) != zone(e), F.lit(True)))
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

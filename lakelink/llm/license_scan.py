@@ -3,9 +3,9 @@
 Some hundred regular expressions, made of license families, versions and wordings, are tried in the
 order of their priority. A rule runs on a text only if the text holds the rule's keyword, and no
 rule runs on a text that holds none of the gate's words, which is most texts. A detection is an
-interval of words. Overlaps are resolved in one pass over the detections in order of their start: one
-that lies within another is dropped (of equal ones the later rule); of two that overlap in part the
-one of the later rule is dropped. The labels of what is left stand beside those of the base phrases.
+interval of words. Overlaps are resolved over all detections: those that lie within no other come first, in order of
+their rules' priority, then those within one, and so on; one that a standing detection overlaps or contains is dropped,
+so what lay within a dropped one is free again. The labels of what is left stand beside those of the base phrases.
 
 Words are runs of characters other than ASCII marks, white space and control characters; A-Z are
 lower-cased (by case-blind matching of ASCII letters only). All of it is done within a row: there is no shuffle,
@@ -149,24 +149,23 @@ def _places(text: Column, regex: Column, priority: Column, label: Column) -> Col
 
 
 def _standing(found: Column) -> Column:
-    """Labels and number of words of what stands after the overlaps of an array of detections are resolved."""
-    ordered = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["priority"] - b["priority"]))
-    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("label"))
-
-    def closed(s: Column) -> Column:
-        return F.array_union(s["labels"], F.when(s["last"]["label"].isNotNull(), F.array(s["last"]["label"])).otherwise(F.array().cast("array<string>")))
-
-    def step(s: Column, d: Column) -> Column:
-        last = s["last"]
-        apart, better = d["start"] >= last["end"], (d["end"] > last["end"]) & (d["priority"] < last["priority"])
-        return F.struct(
-            F.when(apart | better, d).otherwise(last).alias("last"),
-            F.when(apart, closed(s)).otherwise(s["labels"]).alias("labels"),
-            (s["words"] + F.when(apart, d["end"] - d["start"]).when(better, (d["end"] - d["start"]) - (last["end"] - last["start"])).otherwise(F.lit(0))).alias("words"),
-        )
-
-    start = F.struct(none.alias("last"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("words"))
-    return F.aggregate(ordered, start, step, lambda s: F.struct(closed(s).alias("labels"), s["words"].alias("words")))
+    """Labels and number of words of what stands after the overlaps of an array of detections are resolved: those within
+    fewest others first, then by priority, then the longer, then the earlier; each stands unless one that stands overlaps it."""
+
+    def within(d: Column) -> Column:
+        around = lambda x: (x["start"] <= d["start"]) & (d["end"] <= x["end"]) & ((x["start"] < d["start"]) | (d["end"] < x["end"]) | (x["priority"] < d["priority"]))
+        return F.size(F.filter(found, around))
+
+    ranked = F.transform(found, lambda d: F.struct(within(d).alias("depth"), d["priority"].alias("priority"), (d["start"] - d["end"]).alias("short"), d["start"].alias("start"), d["end"].alias("end"), d["label"].alias("label")))
+    ordered = F.transform(F.array_sort(ranked), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label")))
+
+    def step(stand: Column, d: Column) -> Column:
+        free = ~F.exists(stand, lambda x: (x["start"] < d["end"]) & (d["start"] < x["end"]))
+        return F.when(free, F.concat(stand, F.array(d))).otherwise(stand)
+
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
+    finish = lambda stand: F.struct(F.array_distinct(F.transform(stand, lambda d: d["label"])).alias("labels"), F.aggregate(stand, F.lit(0), lambda n, d: n + d["end"] - d["start"]).alias("words"))
+    return F.aggregate(ordered, none, step, finish)
 
 
 def scanned(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -23,9 +23,7 @@ from . import common
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
-BLOCK = 256
-#: At least so many slots, so that small tables come near their targets too.
-LEAST_SLOTS = 4096
+BLOCK = 64
 #: Mean number of documents in a bucket of the shuffled order.
 PER_BUCKET = 2048
 GOLDEN = 0.6180339887498949
@@ -88,7 +86,7 @@ def _key(id_column: str | None) -> Column:
     return F.xxhash64(F.lit(SEED), F.col(id_column)) if id_column else F.xxhash64(F.lit(SEED), F.lit(0))
 
 
-def mixed(df: DataFrame, source: str = "source", size: str = "size", id_column: str = "doc_id", block: int | None = None) -> DataFrame:
+def mixed(df: DataFrame, source: str = "source", size: str = "size", id_column: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """df (with a size column) -> the same rows with source_size, target, and taken_first and taken_second:
     the words that the mix takes of the document on its source's first and second round."""
     spark = df.sparkSession
@@ -97,7 +95,6 @@ def mixed(df: DataFrame, source: str = "source", size: str = "size", id_column:
     targets = common.written(targets.coalesce(1), "mix-targets")
     n_sources, goal = targets.agg(F.count("*"), F.sum("target")).collect()[0]
     goal = goal or 0.0
-    block = block or max(1, min(BLOCK, int(goal / LEAST_SLOTS)))
     n_slots = round(goal / block)
     n_docs = rows.count()
     buckets = max(1, n_docs // PER_BUCKET)

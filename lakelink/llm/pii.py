@@ -5,8 +5,8 @@ keys, passwords and tokens, titled names) are replaced by values of the same typ
 its length, marks and check digits, an address its form, a name its gender, script and capitals.
 
 Everything but names goes through a keyed permutation of all strings of the same format (a Feistel
-network over the mixed-radix number that the string spells, walked until the value is of the type
-again; secrets of more than BLOCK characters in blocks, each by a permutation of its place). Letters and
+network over the mixed-radix number that the string spells lays all numbers on a circle, and the next one on it that
+is of the type again is taken, so no value stays as it is where there is another; secrets of more than BLOCK characters in blocks, each by a permutation of its place). Letters and
 digits of other scripts change within their Unicode block and category, marks only where a secret has
 nothing else. A permutation maps different originals to different surrogates and the same original to the
 same surrogate in every document, on every worker, with no state to share. Names are spelled from a
@@ -48,10 +48,12 @@ _TITLES = "|".join(sorted({f(t) for t in (*_MALE, *_FEMALE, "Dr", "Prof", "Mx")
 PATTERNS: list[tuple[str, re.Pattern | str, re.Pattern]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?i)passw|pwd|secret|token|key"), re.compile(_SECRET + r"([^\s\"',;<>]{6,})")),
+    ("secret", re.compile(r"(?i)passw|pwd"), re.compile(r"(?i:\b(?:password|passwd|pwd)\b\s*[=:]\s*[\"']?)([^\s\"',;<>]{4,5})(?![^\s\"',;<>])")),
     ("access_key", re.compile("A(?:KIA|SIA|IDA|ROA)"), re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA|IDA|ROA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")),
-    ("phone", re.compile(r"\d[ ().-]{1,2}\d"), re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("ipv6", re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*[\w:])")),
+    ("phone", re.compile(r"\d[ ().-]{1,2}\d"), re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+-])(?<!\d )\d{3} \d{3} \d{4}(?![\w-]| \d)|(?<![\w.+-])(?<!\d )0\d{2,4}[ /-]\d{6,8}(?![\w-]| \d)")),
     ("ssn", re.compile(r"\d-\d\d-\d"), re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"\d{4}[ -]?\d{4}"), re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")),
     ("name", re.compile(_TITLES), re.compile(rf"(?<!\w)(?:{_TITLES})\b\.?[ ]({_NAME}(?:[ -]{_NAME}){{0,2}})")),
@@ -74,28 +76,39 @@ class Permutation:
     def __init__(self, key: bytes = KEY):
         self.key = hashlib.sha256(key).digest()
 
+    def _round(self, tweak: str, r: int, b: int, nbytes: int) -> int:
+        out, n = b"", 0
+        while len(out) < nbytes:
+            out += hashlib.blake2b(f"{tweak}|{r}|{n}|{b}".encode(), key=self.key).digest()
+            n += 1
+        return int.from_bytes(out[:nbytes], "big")
+
+    def _shuffled(self, tweak: str, x: int, size: int, back: bool = False) -> int:
+        """A keyed permutation of 0..size-1, or its inverse."""
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        mask, nbytes = (1 << half) - 1, (half + 7) // 8
+        while True:
+            a, b = x >> half, x & mask
+            for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+                if back:
+                    a, b = b ^ (self._round(tweak, r, a, nbytes) & mask), a
+                else:
+                    a, b = b, a ^ (self._round(tweak, r, b, nbytes) & mask)
+            x = a << half | b
+            if x < size:
+                return x
+
     def number(self, tweak: str, x: int, size: int, fits: Callable[[int], bool] = lambda _: True) -> int:
-        """x in 0..size-1 -> another such number that fits (x fits itself), one to one."""
+        """x in 0..size-1 -> the next number that fits (x fits itself) on a keyed circle of them all: one to one, and
+        never x itself unless nothing else fits."""
         if size < 2:
             return x
-        half = max(1, ((size - 1).bit_length() + 1) // 2)
-        mask = (1 << half) - 1
-        nbytes = (half + 7) // 8
-        y = x
-        for _ in range(10_000):
-            a, b = y >> half, y & mask
-            for r in range(ROUNDS):
-                out, n = b"", 0
-                while len(out) < nbytes:
-                    out += hashlib.blake2b(f"{tweak}|{r}|{n}|{b}".encode(), key=self.key).digest()
-                    n += 1
-                a, b = b, a ^ (int.from_bytes(out[:nbytes], "big") & mask)
-            y = a << half | b
-            if y < size and fits(y):
-                break
-        else:
-            return x
-        return y
+        place = self._shuffled(tweak, x, size)
+        while True:
+            place = (place + 1) % size
+            y = self._shuffled(tweak, place, size, back=True)
+            if y == x or fits(y):
+                return y
 
     def spell(self, kind: str, s: str, free: str, fits: Callable[[str], bool] = lambda _: True) -> str:
         """s with the letters and digits marked '1' in free replaced; cases and all else stay."""
@@ -167,6 +180,19 @@ def _ip_class(s: str) -> str | None:
     return "special" if a.is_private or a.is_multicast or a.is_reserved else "public"
 
 
+_NETS6 = [ipaddress.ip_network(n) for n in ("::1/128", "fe80::/10", "fc00::/7", "2001:db8::/32", "2000::/3", "::/0")]
+
+
+def _net6(s: str) -> ipaddress.IPv6Network | None:
+    """The first of _NETS6 that holds an IPv6 address; None if s is none, or may be a qualified name or a time."""
+    try:
+        a = ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    sure = s.count(":") > 2 or s.lower().startswith(("fe80:", "fc", "fd", "2001:"))
+    return next(n for n in _NETS6 if a in n) if sure and sum(c.isalnum() for c in s) >= 4 else None
+
+
 _VOWELS = {"LATIN": "aeiou", "CYRILLIC": "аеиоу", "GREEK": "αεηιο"}
 _CONSONANTS = {"LATIN": "bdfgklmnprstv", "CYRILLIC": "бвгдклмнпрст", "GREEK": "βγδκλμνπρστ"}
 _ENDS = {"LATIN": ("n", "a"), "CYRILLIC": ("н", "а"), "GREEK": ("ς", "α")}
@@ -186,9 +212,9 @@ class Surrogates:
         self.perm = Permutation(key)
 
     def name_part(self, part: str, gender: str, given: bool, attempt: int = 0) -> str:
-        """A pronounceable name in the script and capitals of part; given names end by gender."""
+        """A pronounceable name in the script and capitals of part; the gender decides the ending of a given name only."""
         script = _script(part)
-        h = int.from_bytes(hashlib.blake2b(f"{part.casefold()}|{gender if given else ''}|{attempt}".encode(), key=self.perm.key).digest(), "big")
+        h = int.from_bytes(hashlib.blake2b(f"{part.casefold()}|{attempt}".encode(), key=self.perm.key).digest(), "big")
         out = ""
         for _ in range(4):
             h, c = divmod(h, len(_CONSONANTS[script]))
@@ -209,11 +235,10 @@ class Surrogates:
             return p.spell(kind, s, free)
         if kind == "phone":
             code = re.match(r"\+\d{1,3}(?=\D)", s)
-            n = code.end() if code else 0
+            n = code.end() if code else int(s[0] == "0")  # a trunk prefix stays
             return p.spell(kind, s, "0" * n + "1" * (len(s) - n))
         if kind == "card":
-            valid = luhn(re.sub(r"\D", "", s))
-            return p.spell(kind + str(valid), s, "0" + "1" * (len(s) - 1), lambda y: luhn(re.sub(r"\D", "", y)) == valid)
+            return p.spell(kind, s, "0" + "1" * (len(s) - 1), lambda y: luhn(re.sub(r"\D", "", y)))
         if kind == "iban":
             valid = _iban(s)
             return p.spell(kind + str(valid), s, "00" + "1" * (len(s) - 2), lambda y: _iban(y) == valid)
@@ -222,6 +247,12 @@ class Surrogates:
             net = next((n for n in _NETS if str(n) == group), ipaddress.ip_network("0.0.0.0/0"))
             first = int(net.network_address)
             return as_text(first + p.number("ip|" + str(group), int(ipaddress.IPv4Address(s)) - first, net.num_addresses, lambda y: _ip_class(as_text(first + y)) == group))
+        if kind == "ipv6":
+            net = _net6(s)
+            first = int(net.network_address)
+            inner = lambda y: _net6(str(ipaddress.IPv6Address(first + y))) == net
+            made = ipaddress.IPv6Address(first + p.number(f"ipv6|{net}", int(ipaddress.IPv6Address(s)) - first, net.num_addresses, inner))
+            return str(made).upper() if s.upper() == s and s.lower() != s else str(made)
         if kind == "access_key":
             return p.spell(kind, s, "0000" + "1" * (len(s) - 4))
         if kind == "secret":
@@ -244,7 +275,7 @@ def found(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             a, b = m.span(1) if pattern.groups else m.span()
             s = text[a:b]
-            if kind == "ip" and _ip_class(s) is None or kind == "iban" and not _iban(s):
+            if kind == "ip" and _ip_class(s) is None or kind == "iban" and not _iban(s) or kind == "card" and not luhn(re.sub(r"\D", "", s)) or kind == "ipv6" and _net6(s) is None:
                 continue
             if kind == "name" and not s[:1].isupper():
                 continue

@@ -7,7 +7,7 @@ gated attention weights (softmax of w . (tanh(V h) * sigmoid(U h))) and the scor
 mean passage. Labels, language, source and id are no inputs.
 
 The network is fitted on the driver from a bounded sample: the SAMPLE labelled documents with
-the least hash of their id (and at most BAG passages of each, evenly spaced; scoring takes all).
+the least hash of their id, all passages of each.
 Documents with crc32(id) mod 5 = 0 are held out. Passages are encoded on the executors.
 
 Defined results: a null or empty text is one empty passage and has a score too. Several labels of
@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 from . import common
 
 SAMPLE = 3000
-BAG = 24
 PASSAGE_BYTES = 512
 HASHED = 96
 RATES = 16
@@ -204,18 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             for i in range(0, len(frame), 64):
                 part = frame.iloc[i : i + 64]
                 x, off = passages([(t or "").encode() for t in part["text"]])
-                out = []
-                for j in range(len(part)):
-                    k = off[j + 1] - off[j]
-                    rows = off[j] + (np.arange(k) if k <= BAG else np.linspace(0, k - 1, BAG).astype(np.int64))
-                    out.append(x[rows].astype(np.float16).tobytes())
+                out = [x[off[j] : off[j + 1]].astype(np.float32).tobytes() for j in range(len(part))]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["__y"], "x": out})
 
-    rows = bags.mapInPandas(encode, "doc_id long, y double, x binary").collect()  # at most sample * BAG vectors
+    rows = bags.mapInPandas(encode, "doc_id long, y double, x binary").collect()  # the passages of `sample` texts at most
     rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     if not rows:
         return AttentionMIL()
-    xs = [np.frombuffer(r["x"], np.float16).reshape(-1, HASHED + RATES) for r in rows]
+    xs = [np.frombuffer(r["x"], np.float32).reshape(-1, HASHED + RATES) for r in rows]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
     return AttentionMIL().fit(np.concatenate(xs).astype(np.float64), offsets, np.array([r["y"] for r in rows]))
 

@@ -110,6 +110,25 @@ def test_license_overlaps(spark):
     assert [r.labels for r in rows] == ["apache-2,apache-2.0", "gpl-3-or-later", "cc-by-nc,cc-by-nc-sa-4.0"]
 
 
+def _brute_standing(found):
+    stand = []
+    around = lambda x, d: x.start <= d.start and d.end <= x.end and ((x.start, x.end) != (d.start, d.end) or x.priority < d.priority)
+    for d in sorted(found, key=lambda d: (sum(around(x, d) for x in found), d.priority, d.start - d.end, d.start)):
+        if all(d.end <= s.start or s.end <= d.start for s in stand):
+            stand.append(d)
+    return {d.label for d in stand}, sum(d.end - d.start for d in stand)
+
+
+def test_license_resolution(spark):
+    """All overlaps against a plain version, on texts that mix the words of many rules."""
+    r = random.Random(6)
+    rules = [" ".join(w.split("|")[0].rstrip("?") for w in words.split()) for words, _ in license_scan.signatures()]
+    given = [(i, " ".join(r.choice(rules) if r.random() < 0.7 else " ".join(r.choice(rules).split()[: r.randrange(1, 4)]) for _ in range(r.randrange(1, 8)))) for i in range(150)]
+    for x in license_scan.scanned(spark.createDataFrame([*given, (900, ""), (901, None)], "doc_id long, text string")).collect():
+        labels, words = _brute_standing(x.detections)
+        assert set(filter(None, x.labels.split(","))) == labels | set(filter(None, x.base_labels.split(","))) and abs(x.score - words / max(1, x.n_words)) < 1e-12
+
+
 def test_license_wrapped(spark):
     """Each rule in its shortest form, its words joined, wrapped or with comment marks between: all labels and scores alike."""
     rules = {" ".join(w.split("|")[0] for w in words.split() if not w.endswith("?")) for words, _ in license_scan.signatures()} | {p for p, _ in license_scan.BASE}
@@ -207,6 +226,29 @@ def test_fingerprints(spark, docs, texts):
         assert by_text.setdefault(texts[i], out[i].fingerprint) == out[i].fingerprint
 
 
+def test_fingerprint_brute_force(spark):
+    """All elements, hashed by Spark row by row; the two least of each order by plain sorting. Texts of up to 20,000 pieces."""
+    r = random.Random(8)
+    given = [" ".join(f"w{r.randrange(m)}" for _ in range(n)) for n, m in ((0, 1), (1, 5), (2, 5), (40, 6), (300, 10**6), (5000, 10**6), (5000, 40), (20000, 10**6))]
+    out = {x.doc_id: x.fingerprint for x in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    place = (1 << fingerprint.PLACE_BITS) - 1
+    for i, t in enumerate(given):
+        pieces = re.findall(fingerprint.PIECE, t)
+        pairs = [(k, a, b) for k, (a, b) in enumerate(zip(pieces, [*pieces[1:], None], strict=False))]
+        seen, rows = {}, []
+        for k, a, b in pairs:
+            seen[a, b] = seen.get((a, b), 0) + 1
+            rows.append((k, a, b, seen[a, b]))
+        h = spark.createDataFrame(rows, "k int, a string, b string, n int").select("k", F.shiftrightunsigned(F.xxhash64(F.xxhash64(F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b"))), "n"), 64 - fingerprint.HASH_BITS)).collect()
+        tuples = []
+        for j in range(fingerprint.PERMUTATIONS if rows else 0):
+            least = sorted((x ^ j << fingerprint.HASH_BITS - 5, k & place, x) for k, x in h)[:2]
+            least = sorted(least, key=lambda e: e[1])
+            tuples.append((j, least[0][2], least[-1][2]))
+        want = spark.createDataFrame(tuples, "j int, x long, y long").select("j", F.lpad(F.lower(F.hex(F.xxhash64("j", "x", "y").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")).collect()
+        assert out[i] == "".join(s for _, s in sorted(want)) if rows else set(out[i]) == {"0"}, i
+
+
 def test_fingerprint_feels_order(spark):
     w = [f"w{i}" for i in range(200)]
     texts = [" ".join(w), " ".join(w[100:] + w[:100]), " ".join(w + w), " ".join(w[:190] + w[195:]), "", None, "one"]
@@ -340,6 +382,50 @@ def test_substrings_below_threshold_hubs(spark):
     assert all(any(len(cut[x.id] & cut[o]) >= 36 for o in given if o != x.id) for x in rows)
 
 
+def test_substrings_halves_in_a_lower_document(spark):
+    """A passage of 60 words in two documents, its halves apart in one of lower id; and a line that many documents share."""
+    r = random.Random(23)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, given, want = fresh(30), {}, set()
+    for case in range(100):
+        passage, first = fresh(60), case * 10
+        given[first + 1] = fresh(20) + passage[:30] + fresh(40) + line + fresh(9) + passage[30:] + fresh(20)
+        for i in (5, 6):
+            given[first + i] = fresh(25) + passage + fresh(r.randrange(5, 40)) + line + fresh(30)
+            want.add(first + i)
+    for low in (0, 10**6):  # also with candidates fetched by shuffle
+        kept, substrings.BROADCAST_IDS = substrings.BROADCAST_IDS, low
+        try:
+            rows = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")).collect()
+        finally:
+            substrings.BROADCAST_IDS = kept
+        assert {x.id for x in rows} == want and all(x.start_word <= 25 and x.end_word >= 85 for x in rows)
+
+
+def test_substrings_recall(spark):
+    """Passages of 60 words with a few changed in some copies: pairs of similarity 0.8 or more, against brute force."""
+    r = random.Random(29)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    given = {}
+    for case in range(150):
+        passage = fresh(60)
+        for i in range(3):
+            given[case * 3 + i] = fresh(30) + _edited(r, passage, set(r.sample(range(60), r.randrange(3)))) + fresh(30)
+    cut = {i: [tuple(w[a : a + 5]) for a in range(30, 86)] for i, w in given.items()}
+    like = lambda a, b: len(set(cut[a]) & set(cut[b])) / len(set(cut[a]) | set(cut[b]))
+    want = {i for i in given for j in range(i // 3 * 3, i // 3 * 3 + 3) if i != j and like(i, j) >= 0.8}
+    got = {x.id for x in substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")).collect()}
+    print("recall", len(want & got) / len(want))
+    assert len(want & got) >= 0.97 * len(want)
+
+
+def test_substrings_equal_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (1, text), (1, "z " + text), (2, text), (2, None), (None, text)]
+    got = {(x.id, x.start_word, x.end_word, x.source_id) for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 80, 1), (2, 0, 80, 1)}
+
+
 def test_substrings_all_places():
     r = random.Random(5)
     fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
@@ -388,6 +474,25 @@ def test_pii(spark, odd):
     assert sorted((r.text or "0") for r in rows) == sorted((t or "0") for _, t, _ in ODD) and {r.n_entities for r in rows} == {0}
 
 
+def test_pii_kinds_and_fixed_points():
+    m = pii.Surrogates()
+    for text, kind in (("call 555 123 4567 now", "phone"), ("Tel 0171 2345678.", "phone"), ("at 2001:db8::8a2e:370:7334;", "ipv6"), ("from fe80::1ff:fe23:4567:890a", "ipv6"), ("password: abcd1 x", "secret"), ("4012 8888 8888 1881", "card")):
+        out, kinds = pii.replaced(text, m)
+        assert kinds == [kind] and out != text and pii.replaced(out, m)[1] == [kind], text
+    for clean in ("order 1234567890123456", "12:30:45 and 12:34:56:78", "std::vector<a::b>, dead::beef", "1 555 123 4567 9", "token: the"):
+        assert pii.replaced(clean, m) == (clean, [])
+    # A permutation without a fixed point, whatever fits.
+    for n in (2, 3, 10, 97, 1000):
+        made = [m.perm.number("t", i, n) for i in range(n)]
+        assert sorted(made) == list(range(n)) and all(i != y for i, y in enumerate(made))
+    some = [i for i in range(1000) if i % 7 == 3]
+    made = [m.perm.number("u", i, 1000, lambda y: y % 7 == 3) for i in some]
+    assert sorted(made) == some and all(i != y for i, y in zip(some, made, strict=True))
+    # A given name has one root whatever the title; the gender decides its ending.
+    roots = [pii.replaced(f"{t} John Smith", m)[0].split()[1:] for t in ("Dr.", "Mr.", "Mrs.")]
+    assert len({r[1] for r in roots}) == 1 and len({r[0][:7] for r in roots}) == 1 and roots[2][0].endswith("a")
+
+
 def test_pii_whole_secrets():
     m = pii.Surrogates()
     r = random.Random(4)
