@@ -31,7 +31,7 @@ PERMUTATIONS = 32
 PIECE = r"[^\x20\x09-\x0D]{1,12}"
 PLACE_BITS, HASH_BITS = 23, 40
 #: Partitions for each of the session's shuffle partitions: exploded k-mers need small ones.
-FINER, BUCKETS_PER_PARTITION = 4, 3
+FINER, BUCKETS_PER_PARTITION = 4, 1
 
 
 def _let(value: Column, body) -> Column:
@@ -97,8 +97,9 @@ def _signed(rows: DataFrame, by: list[str], texts: dict[str, Column], keep: dict
     kmers = kmers.select(*by, "kind", "kept", F.when(F.col("pos").isNotNull(), packed).alias("e"))
     chosen = [F.collect_list(F.when(F.col("kind") == i, F.col("e"))).alias(f"__{n}") for i, n in enumerate(texts)]
     out = kmers.groupBy(*by).agg(F.max("kept").alias("kept"), *chosen)
-    out = out.select(*by, "kept", *(F.sort_array(f"__{n}").alias(f"__{n}") for n in texts))
-    return out.select(*by, "kept", *(_tuples(_two_of_each_zone(F.col(f"__{n}"))).alias(n) for n in texts))
+    # Each array is made once a row; as plain expressions they would be copied into the lambdas.
+    signature = lambda c: _let(F.sort_array(c), lambda e: _let(_two_of_each_zone(e), _tuples))
+    return out.select(*by, "kept", *(signature(F.col(f"__{n}")).alias(n) for n in texts))
 
 
 def _two_of_each_zone(elements: Column) -> Column:
