@@ -69,9 +69,8 @@ SELECT s1.entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT tid, ','
 def exact_name_links(spark, sf_dir):
     s1, targets = blocking.sides(_norm(spark, sf_dir, adapters.docs))
     left = s1.filter("n_name IS NOT NULL").select(F.col("entity_id").alias("sid"), "country", "n_name")
-    pairs = left.join(targets.select(F.col("entity_id").alias("tid"), "country", "n_name"), ["country", "n_name"])
-    few = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("sid").orderBy("tid"))).filter("rn <= 10")
-    return files.match_lists(s1, few)
+    first = blocking.least(targets.filter("n_name IS NOT NULL").select(F.col("entity_id").alias("tid"), "country", "n_name"), ["country", "n_name"], 10)
+    return files.match_lists(s1, left.join(first, ["country", "n_name"]))  # a sid has one name, so at most ten targets
 
 
 @query(f"{W} SELECT kind, token, df, count(*) AS n_postings, count(DISTINCT country) AS n_countries FROM postings GROUP BY ALL")
@@ -87,9 +86,9 @@ def candidate_pairs(spark, sf_dir):
 
 @query(f"{W} SELECT c.prio::INT AS prio, c.n_raw, coalesce(k.n_kept, 0) AS n_kept FROM (SELECT prio, count(*) AS n_raw FROM pairs GROUP BY 1) c LEFT JOIN (SELECT prio, count(*) AS n_kept FROM cand GROUP BY 1) k USING (prio)")
 def channel_accounting(spark, sf_dir):
-    pairs = blocking.channel_pairs(_norm(spark, sf_dir))
-    raw = pairs.groupBy("prio").agg(F.count("*").alias("n_raw"))
-    kept = blocking.candidates(pairs).groupBy("prio").agg(F.count("*").alias("n_kept"))
+    norm = _norm(spark, sf_dir)
+    raw = blocking.channel_volume(norm)
+    kept = _cand(spark, sf_dir, norm).groupBy("prio").agg(F.count("*").alias("n_kept"))
     return raw.join(kept, "prio", "left").select("prio", "n_raw", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
@@ -105,9 +104,14 @@ def pair_features(spark, sf_dir):
     return features.pair_features(_cand(spark, sf_dir, norm), norm)
 
 
-@query(f"WITH {adapters.PARTS_SQL}, {normalize.NORM_SQL}, {blocking.scored_sql()} SELECT * FROM scored")
+@query(f"WITH {adapters.PARTS_SQL}, {normalize.NORM_SQL}, {blocking.KEY_RECORDS_SQL}, {blocking.scored_sql()} SELECT * FROM scored")
 def scored_candidates(spark, sf_dir):
-    return blocking.scored_candidates(_norm(spark, sf_dir))
+    return blocking.scored_candidates(blocking.key_records(_norm(spark, sf_dir)))
+
+
+@query(f"WITH {adapters.DOCS_SQL}, {normalize.NORM_SQL}, {blocking.KEY_RECORDS_SQL}, {blocking.scored_sql()} SELECT * FROM scored")
+def scored_documents(spark, sf_dir):
+    return blocking.scored_candidates(blocking.key_records(_norm(spark, sf_dir, adapters.docs)))
 
 
 @query(f"{W}, own AS (SELECT country, unnest(list_distinct(name_tokens)) AS tok FROM norm), nn AS (SELECT country, count(*) AS n FROM norm GROUP BY 1) SELECT country, tok, count(*) AS df, round(ln(any_value(n) / count(*)::DOUBLE), 6) AS idf FROM own JOIN nn USING (country) GROUP BY country, tok")
@@ -125,10 +129,10 @@ def idf_overlap(spark, sf_dir):
     return features.idf_overlap(_cand(spark, sf_dir, norm), norm, "name_tokens")
 
 
-@query(f"""WITH {adapters.PARTS_SQL}, {normalize.NORM_SQL}, {blocking.scored_sql()} SELECT rid, s1, bscore, count(*) OVER (PARTITION BY rid) AS q_ncand, rank() OVER (PARTITION BY rid ORDER BY bscore DESC) AS rank_min,
+@query(f"""WITH {adapters.PARTS_SQL}, {normalize.NORM_SQL}, {blocking.KEY_RECORDS_SQL}, {blocking.scored_sql()} SELECT rid, s1, bscore, count(*) OVER (PARTITION BY rid) AS q_ncand, rank() OVER (PARTITION BY rid ORDER BY bscore DESC) AS rank_min,
 count(*) OVER (PARTITION BY rid ORDER BY bscore DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank_max, round(max(bscore) OVER (PARTITION BY rid) - bscore, 6) AS gap, count_if(bscore = top) OVER (PARTITION BY rid) AS n_top_ties FROM (SELECT *, max(bscore) OVER (PARTITION BY rid) AS top FROM scored)""")
 def query_context(spark, sf_dir):
-    return features.query_context(blocking.scored_candidates(_norm(spark, sf_dir)).select("rid", "s1", "bscore"), "rid", "bscore")
+    return features.query_context(blocking.scored_candidates(blocking.key_records(_norm(spark, sf_dir))).select("rid", "s1", "bscore"), "rid", "bscore")
 
 
 @query(f"{W} SELECT sid, count(*) AS n_links FROM gold GROUP BY 1")
@@ -170,7 +174,7 @@ def blocking_recall(spark, sf_dir):
 
 @query(f"{W}, best0 AS (SELECT sid, tid, min(prio) AS prio FROM pairs GROUP BY 1, 2), rk AS (SELECT b.*, row_number() OVER (PARTITION BY b.sid ORDER BY prio, b.tid) AS rn, g.tid IS NOT NULL AS g FROM best0 b LEFT JOIN (SELECT DISTINCT sid, tid FROM gold) g ON g.sid = b.sid AND g.tid = b.tid) SELECT cap::BIGINT AS cap, count_if(rn <= cap) AS n_pairs, count_if(rn <= cap AND g) AS n_found FROM rk, (SELECT unnest([3, 5, 6, 8, 10, 15, 20]) AS cap) GROUP BY cap")
 def cap_curve(spark, sf_dir):
-    return profile.cap_curve(blocking.channel_pairs(_norm(spark, sf_dir)), _gold(spark, sf_dir))
+    return profile.cap_curve(blocking.channel_pairs(_norm(spark, sf_dir), first=max(profile.CURVE_CAPS)), _gold(spark, sf_dir))
 
 
 def _jaccard(spark, sf_dir) -> DataFrame:
@@ -342,8 +346,11 @@ def runner_up_margin(spark, sf_dir):
 def fuzzy_ratios(spark, sf_dir):
     """Scorers that SQL lacks, on distinct names of candidate pairs; unit tests hold them against their definitions."""
     norm = _norm(spark, sf_dir)
-    rows = _cand(spark, sf_dir, norm).join(norm.select(F.col("entity_id").alias("sid"), F.col("n_name").alias("a")), "sid").join(norm.select(F.col("entity_id").alias("tid"), F.col("n_name").alias("b")), "tid").select("a", "b").distinct()
-    return rows.select("a", "b", *(F.round(text.similarity(n, F.col("a"), F.col("b")), 4).alias(n) for n in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "w_ratio")), text.soundex_column(F.substring_index("a", " ", 1)).alias("soundex"))
+    names = [norm.select(F.col("entity_id").alias(i), F.col("n_name").alias(c)) for i, c in (("sid", "a"), ("tid", "b"))]
+    rows = _cand(spark, sf_dir, norm).select("sid", "tid").join(names[0], "sid").join(names[1], "tid").select("a", "b").distinct()
+    kinds = ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "w_ratio")
+    rows = rows.withColumn("s", text.similarities({n: (n, F.col("a"), F.col("b")) for n in kinds}))
+    return rows.select("a", "b", *(F.round(F.col("s")[n], 4).alias(n) for n in kinds), text.soundex_column(F.substring_index("a", " ", 1)).alias("soundex"))
 
 
 @query()

@@ -42,6 +42,10 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Most cells of the distance tables that are held at once (4 bytes each), unless one pair alone needs more.
+TABLE_CELLS = 8_000_000
+
+
 def damerau(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Unrestricted Damerau-Levenshtein distances of many pairs at once (the recurrence of Lowrance and Wagner)."""
     n = len(pairs)
@@ -160,23 +164,33 @@ def strip_accents(s: str | None) -> str | None:
     return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def _pairwise(f: Callable[[str, str], float]):
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for p in zip(a, b, strict=True):
-            if p not in known:
-                known[p] = f(p[0] or "", p[1] or "")
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
+SCORERS: dict[str, Callable[[str, str], float]] = {"jaro_winkler": jaro_winkler, "ratio": ratio, "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio, "partial_ratio": partial_ratio, "w_ratio": w_ratio}
+
+
+def similarities(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
+    """A struct with one score for each name: (scorer, a, b). One Arrow pass serves all; equal pairs of a batch are scored
+    once; null counts as empty."""
+
+    plan = [(name, scorer) for name, (scorer, _, _) in wanted.items()]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in wanted))
+    def run(*texts: pd.Series) -> pd.DataFrame:
+        out, known = {}, {}
+        for i, (name, scorer) in enumerate(plan):
+            f, values = SCORERS[scorer], []
+            for p in zip(texts[2 * i], texts[2 * i + 1], strict=True):
+                if (scorer, p) not in known:
+                    known[scorer, p] = f(p[0] or "", p[1] or "")
+                values.append(known[scorer, p])
+            out[name] = pd.Series(values, dtype="float64")
+        return pd.DataFrame(out)
 
-    return run
+    return run(*(c for _, a, b in wanted.values() for c in (a, b)))
 
 
 def similarity(name: str, a: Column, b: Column) -> Column:
     """One of the scorers above as a column (null counts as empty)."""
-    return _pairwise({"jaro_winkler": jaro_winkler, "ratio": ratio, "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio, "partial_ratio": partial_ratio, "w_ratio": w_ratio}[name])(a, b)
+    return similarities({"score": (name, a, b)})["score"]
 
 
 def damerau_similarity(a: Column, b: Column) -> Column:
@@ -185,10 +199,13 @@ def damerau_similarity(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = list(zip(a, b, strict=True))
-        due = sorted({p for p in pairs if p[0] and p[1]}, key=lambda p: (len(p[0]), len(p[1])))
+        due = sorted({p for p in pairs if p[0] and p[1]}, key=lambda p: max(len(p[0]), len(p[1])))
         known: dict = {}
-        for i in range(0, len(due), 512):
-            part = due[i : i + 512]
+        i = 0
+        while i < len(due):  # sorted by length, so the next pair's length bounds most of a block
+            high = max(map(len, due[min(i + 511, len(due) - 1)])) + 2
+            part = due[i : i + max(1, min(512, TABLE_CELLS // (high * high)))]
+            i += len(part)
             for p, x in zip(part, damerau(part), strict=True):
                 known[p] = 1 - min(1.0, x / max(len(p[0]), len(p[1])))
         return pd.Series([known.get(p, 0.0) for p in pairs], dtype="float64")

@@ -1,4 +1,4 @@
-"""Normalised keys of names and addresses."""
+"""Normalised keys of names and addresses."""
 
 from __future__ import annotations
 

@@ -27,13 +27,14 @@ PARTS_SQL = """src AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: the first line (120 characters), the source with the next 80 characters, the language."""
-    first = F.substring(F.substring_index("text", "\n", 1), 1, 120)
-    return table(spark, sf_dir, "documents").select(_id("doc_id").alias("entity_id"), first.alias("business_name"), F.concat(F.col("source"), F.lit(" "), F.substring("text", 121, 80)).alias("business_address"), F.col("lang").alias("country"))
+    """documents, whole: the first line, the source with all that follows it, the language."""
+    first = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.char_length(first) + 2, F.char_length("text"))
+    return table(spark, sf_dir, "documents").select(_id("doc_id").alias("entity_id"), first.alias("business_name"), F.concat(F.col("source"), F.lit(" "), rest).alias("business_address"), F.col("lang").alias("country"))
 
 
-DOCS_SQL = """src AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, substr(split_part(text, chr(10), 1), 1, 120) AS business_name,
-  source || ' ' || substr(text, 121, 80) AS business_address, lang AS country FROM documents)"""
+DOCS_SQL = """src AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, split_part(text, chr(10), 1) AS business_name,
+  source || ' ' || substr(text, length(split_part(text, chr(10), 1)) + 2) AS business_address, lang AS country FROM documents)"""
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
