@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import JACCARD_SQL, WD, WP, W, _cand, _gold, _jaccard, _norm, query
 from .functions.scripts import transliterated
-from .operators import audits, blocking, gates, records
+from .operators import audits, blocking, evidence, gates, record_features, records
 from .operators.normalize import LEET_FROM, LEET_TO, ORDINAL, unleet
 from .sources import adapters
 
@@ -92,21 +92,45 @@ def posting_sample(spark, sf_dir):
     return audits.posting_sample(audits.audit_keys(_norm(spark, sf_dir)), 3)
 
 
-_GRAMS_SQL = """gm0 AS (SELECT entity_id, country, replace(coalesce(n_name, ''), ' ', '') AS z FROM norm), gm AS (SELECT entity_id, country, list_distinct(list_transform(range(1, length(z) - 1), lambda i: substr(z, i, 3))) AS g FROM gm0),
-fl AS (SELECT entity_id, country, length(g) AS size, unnest(g) AS gram FROM gm), fw AS (SELECT country, gram FROM fl WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL HAVING count(*) <= 200),
-sh AS (SELECT a.entity_id AS sid, b.entity_id AS tid, count(*) AS n_shared, any_value(a.size) AS s, any_value(b.size) AS t FROM fl a JOIN fl b ON a.country = b.country AND a.gram = b.gram AND a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' JOIN fw ON fw.country = a.country AND fw.gram = a.gram GROUP BY 1, 2),
-gc AS (SELECT sid, tid, n_shared, round(n_shared / (s + t - n_shared)::DOUBLE, 6) AS evidence FROM sh), gq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY evidence DESC, tid) AS rank FROM gc) WHERE rank <= 30)"""
+_GRAMS_SQL = f"lf AS (SELECT entity_id, coalesce(n_name, '') AS name, coalesce(n_addr, '') AS second FROM s1), rt AS (SELECT entity_id, coalesce(n_name, '') AS name, coalesce(n_addr, '') AS second FROM tg), {evidence.evidence_sql('parts')}"
 
 
-@query(f"{W}, {_GRAMS_SQL} SELECT sid, tid, n_shared, evidence, rank FROM gq")
+def _evidence(spark, sf_dir, fuzzy: bool) -> DataFrame:
+    sides = (x.select("entity_id", F.col("n_name").alias("name"), F.col("n_addr").alias("second")) for x in blocking.sides(_norm(spark, sf_dir)))
+    return evidence.evidence_candidates(*sides, "parts", fuzzy=fuzzy)
+
+
+@query(f"{W}, {_GRAMS_SQL} SELECT sid, tid, n_name_word, n_gram, n_second_word, evidence, score, rank FROM gq")
+def evidence_candidates(spark, sf_dir):
+    return _evidence(spark, sf_dir, False)
+
+
+@query()
 def gram_candidates(spark, sf_dir):
-    return audits.gram_candidates(_norm(spark, sf_dir))
+    """The candidates re-ranked by fuzzy scores, which SQL lacks (tested against a plain version)."""
+    return _evidence(spark, sf_dir, True)
 
 
-@query(f"""{W}, {_GRAMS_SQL}, r1 AS (SELECT sid, tid, n_shared, row_number() OVER (PARTITION BY sid ORDER BY evidence DESC, tid) AS r1 FROM gq), r2 AS (SELECT *, row_number() OVER (PARTITION BY sid, r1 <= 5 ORDER BY n_shared DESC, tid) AS r2 FROM r1)
+@query(f"""{W}, {_GRAMS_SQL}, r1 AS (SELECT sid, tid, n_gram, row_number() OVER (PARTITION BY sid ORDER BY evidence DESC, tid) AS r1 FROM gq), r2 AS (SELECT *, row_number() OVER (PARTITION BY sid, r1 <= 5 ORDER BY n_gram DESC, tid) AS r2 FROM r1)
 SELECT sid, tid, r1 AS rank, r1 <= 5 AS by_first FROM r2 WHERE r1 <= 5 OR r2 <= 3""")
 def two_quotas(spark, sf_dir):
-    return audits.two_quotas(audits.gram_candidates(_norm(spark, sf_dir)), "evidence", "n_shared", 5, 3)
+    return audits.two_quotas(_evidence(spark, sf_dir, False), "evidence", "n_gram", 5, 3)
+
+
+def _record_features(spark, sf_dir, fuzzy: bool) -> DataFrame:
+    norm = _norm(spark, sf_dir)
+    return record_features.record_features(blocking.scored_candidates(blocking.key_records(norm)), record_features.plain_records(norm), fuzzy)
+
+
+@query(f"{W}, {blocking.KEY_RECORDS_SQL}, {blocking.scored_sql()}, {record_features.features_sql()} SELECT * FROM feat2")
+def record_set_features(spark, sf_dir):
+    return _record_features(spark, sf_dir, False)
+
+
+@query()
+def record_pair_features(spark, sf_dir):
+    """All features, the fuzzy ones too (the others are record_set_features; tested by a hand-made case)."""
+    return _record_features(spark, sf_dir, True)
 
 
 @query(f"""{W}, {_LINKS}, al AS (SELECT string_split(coalesce(a.n_addr, ''), ' ') AS x, string_split(coalesce(b.n_addr, ''), ' ') AS y FROM g1 JOIN norm a ON a.entity_id = sid JOIN norm b ON b.entity_id = tid), fl AS (SELECT unnest(x) AS word, unnest(y) AS counterpart FROM al WHERE length(x) = length(y)),

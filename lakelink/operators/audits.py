@@ -1,4 +1,4 @@
-"""Audits of links, keys and records."""
+"""Audits of links, keys and records (M5, M7, V4-V6, R6, R9-R11, B19, B20, B11 in part)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .normalize import house_number
 
-GRAM = 3
-
 
 def _rate(top: Column, bottom: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0)), 6)
@@ -108,24 +106,6 @@ def audit_keys(norm: DataFrame) -> DataFrame:
     return norm.select("entity_id", F.explode(keys).alias("k")).select("entity_id", "k.family", "k.key").filter("key IS NOT NULL AND key <> ''")
 
 
-def gram_candidates(norm: DataFrame, max_posting: int = 200, top: int = 30, q: int = GRAM) -> DataFrame:
-    """Targets that share q-grams of the compact name in postings of bounded size (larger ones are dropped whole, so this
-    is not B17); evidence is the number of shared
-    grams over the grams of both. The best `top` an entity (ties: least id)."""
-    compact = F.replace(F.coalesce("n_name", F.lit("")), F.lit(" "), F.lit(""))
-    places = F.when(F.length(compact) >= q, F.sequence(F.lit(1), F.length(compact) - q + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(compact, i, F.lit(q))))
-    rows = norm.select("entity_id", "country", grams.alias("grams")).withColumn("size", F.size("grams"))
-    flat = rows.select("entity_id", "country", "size", F.explode("grams").alias("gram"))
-    side = F.col("entity_id").startswith("S1-")
-    few = flat.filter(~side).groupBy("country", "gram").agg(F.count("*").alias("df")).filter(F.col("df") <= max_posting).drop("df")
-    right = flat.filter(~side).join(few, ["country", "gram"], "left_semi").select("country", "gram", F.col("entity_id").alias("tid"), F.col("size").alias("tsize"))
-    shared = flat.filter(side).withColumnRenamed("entity_id", "sid").join(right, ["country", "gram"]).groupBy("sid", "tid").agg(F.count("*").alias("n"), F.first("size").alias("s"), F.first("tsize").alias("t"))
-    out = shared.select("sid", "tid", F.col("n").alias("n_shared"), F.round(F.col("n") / (F.col("s") + F.col("t") - F.col("n")), 6).alias("evidence"))
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("evidence"), "tid"))
-    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
-
-
 def posting_sample(keys: DataFrame, cap: int) -> DataFrame:
     """Of each key the `cap` entities of least digest: a sampling operator that reruns agree on."""
     order = Window.partitionBy("family", "key").orderBy(F.md5(F.concat_ws(":", "family", "entity_id", "key")), "entity_id")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lakelink import audit_queries, catalog  # noqa: F401  (registers its queries)
+from lakelink import audit_queries, catalog, policy_queries  # noqa: F401  (they register their queries)
 from lakelink.functions import text
 from lakelink.operators import blocking, decisions, metrics, normalize
 from lakelink.plans import linker
