@@ -172,6 +172,7 @@ def offset_symmetry(spark, sf_dir):
 def offset_classes(spark, sf_dir):
     """Links that go by class and expected gain (tested against a plain version)."""
     links = _house_links(spark, sf_dir)
+    # The probabilities of the classes.
     classes = [(c, offsets, same, conf, shared, q) for c in ("STANDARD", "SMALL", "PROMO") for offsets, same, conf, shared, q in ((gates.STRONG, False, True, True, 0.75), (gates.STRONG, False, False, True, 0.57), ((1, 2), False, True, False, 0.51))]
     return gates.offset_classes(links.select("s1", "rid", "country", "d", "same_name"), classes)
 
@@ -179,14 +180,17 @@ def offset_classes(spark, sf_dir):
 @query()
 def hidden_offsets(spark, sf_dir):
     """Links that go by the symmetry of single changed numbers (tested by a hand-made case)."""
-    return gates.hidden_offsets(_house_links(spark, sf_dir), 0.1)
+    return gates.hidden_offsets(_house_links(spark, sf_dir))
 
 
-@query("SELECT page_id, regexp_extract(lower(url), '(?:https?://)?(?:www\\.)?([a-z0-9][a-z0-9\\-]*)\\.(?:co\\.in|com|net|org|in|fr|co|biz|info|us|io)\\b', 1) AS label, regexp_matches(lower(url), '(?:https?://)?(?:www\\.)?([a-z0-9][a-z0-9\\-]*)\\.(?:co\\.in|com|net|org|in|fr|co|biz|info|us|io)\\b') AS is_domain FROM pages WHERE url IS NOT NULL")
+_LABEL = "regexp_extract(lower(url), '(?:https?://)?(?:www\\.)?([a-z0-9][a-z0-9\\-]*)\\.(?:co\\.in|com|net|org|in|fr|co|biz|info|us|io)\\b', 1)"
+
+
+@query(f"SELECT page_id, is_domain, CASE WHEN is_domain THEN {_UNLEET} ELSE '' END AS last_word FROM (SELECT page_id, label <> '' AS is_domain, list_filter(string_split(label, '-'), lambda x: x <> '')[-1] AS w FROM (SELECT page_id, {_LABEL} AS label FROM pages WHERE url IS NOT NULL))")
 def name_domains(spark, sf_dir):
-    rows = adapters.table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", "url")
-    rows = rows.withColumn("label", F.regexp_extract(F.lower("url"), records.DOMAIN, 1))
-    return records.parsed_names(rows, "url").select("page_id", "label", "is_domain")
+    """The parser's output: whether a url is a domain, and the last word of its name, which is the label's."""
+    rows = records.parsed_names(adapters.table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", "url"), "url")
+    return rows.select("page_id", "is_domain", F.when(F.col("is_domain"), F.element_at("name_full", -1)).otherwise("").alias("last_word"))
 
 
 @query()

@@ -251,20 +251,21 @@ def offset_rule(spark, sf_dir):
     return decisions.offset_rule(rows, "aa", "ab").select("sid", "tid", "d", "shared", "removed")
 
 
-@query(f"""{W}, m0 AS (SELECT sid, tid FROM cand WHERE prio <= 4 AND right(sid, 1) <> '0'), bad AS (SELECT sid, tid FROM m0 UNION ALL SELECT 'S1-none', 'S2-none' UNION ALL SELECT min(sid), 'X9-1' FROM m0), ids AS (SELECT DISTINCT sid FROM bad),
+@query(f"""{W}, m0 AS (SELECT sid, tid FROM cand WHERE prio <= 4 AND right(sid, 1) <> '0'), bad AS (SELECT sid, tid FROM m0 UNION ALL SELECT 'S1-none', 'S2-none' UNION ALL SELECT min(sid), 'X9-1' FROM m0 UNION ALL SELECT 'S1-twice', 'S2-q' UNION ALL SELECT 'S1-twice', 'S3-q'), ids AS (SELECT DISTINCT sid FROM bad),
 c0 AS (SELECT sid, tid FROM cand WHERE prio <= 3)
-SELECT 'duplicate rows' AS problem, 0::BIGINT AS n UNION ALL SELECT 'missing entities', count(*) FROM s1 WHERE entity_id NOT IN (SELECT sid FROM ids) UNION ALL SELECT 'unknown entities', count(*) FROM ids WHERE sid NOT IN (SELECT entity_id FROM s1)
-UNION ALL SELECT 'duplicate matches', 0 UNION ALL SELECT 'bad prefix', count(*) FROM bad WHERE NOT (tid LIKE 'S2-%' OR tid LIKE 'S3-%') UNION ALL SELECT 'absent targets', count(DISTINCT tid) FROM bad WHERE tid NOT IN (SELECT entity_id FROM tg)
+SELECT 'duplicate rows' AS problem, 1::BIGINT AS n UNION ALL SELECT 'missing entities', count(*) FROM s1 WHERE entity_id NOT IN (SELECT sid FROM ids) UNION ALL SELECT 'unknown entities', count(*) FROM ids WHERE sid NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'duplicate matches', 1 UNION ALL SELECT 'bad prefix', count(*) FROM bad WHERE NOT (tid LIKE 'S2-%' OR tid LIKE 'S3-%') UNION ALL SELECT 'absent targets', count(DISTINCT tid) FROM bad WHERE tid NOT IN (SELECT entity_id FROM tg)
 UNION ALL SELECT 'matches beyond candidates', count(*) FROM (SELECT sid, tid FROM bad EXCEPT SELECT sid, tid FROM c0)""")
 def validation(spark, sf_dir):
-    """A result with planted faults: entities left out, an unknown one, a bad target, matches beyond the candidates."""
+    """A result with planted faults: a repeated entity and match, entities left out, an unknown one, a bad target, matches beyond the candidates."""
     norm = _norm(spark, sf_dir)
     s1, targets = blocking.sides(norm)
     cand = _cand(spark, sf_dir, norm)
     m = cand.filter("prio <= 4 AND right(sid, 1) <> '0'").select("sid", "tid")
     bad = m.unionAll(spark.range(1).select(F.lit("S1-none").alias("sid"), F.lit("S2-none").alias("tid"))).unionAll(m.agg(F.min("sid").alias("sid")).select("sid", F.lit("X9-1").alias("tid")))
     lists = bad.groupBy("sid").agg(F.array_join(F.array_sort(F.collect_set("tid")), ",").alias("matched_entity_ids")).withColumnRenamed("sid", "source1_entity_id")
-    return metrics.violations(s1, targets, lists, files.match_lists(s1, cand.filter("prio <= 3"), "candidate_entity_ids"))
+    twice = spark.range(2).select(F.lit("S1-twice").alias("source1_entity_id"), F.when(F.col("id") == 0, "S2-q,S2-q").otherwise("S3-q").alias("matched_entity_ids"))
+    return metrics.violations(s1, targets, lists.unionByName(twice), files.match_lists(s1, cand.filter("prio <= 3"), "candidate_entity_ids"))
 
 
 @query(f"{WD} {profile.COUNTERS_SQL}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .normalize import LEGAL_WORDS, core_tokens, tokens
 
+# The caps of candidates and of a rare word below the channels.
 EXACT = [(1, "n_name"), (2, "n_sorted"), (3, "n_core_sorted"), (4, "n_addr"), (5, "a_sorted")]
 RARE = [(6, "name", "name_tokens"), (7, "addr", "addr_tokens")]
 MAX_CANDIDATES, MAX_TOKEN_DF = 10, 5000

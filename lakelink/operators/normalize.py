@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Legal forms and stop words that don't count in a core name.
 LEGAL_WORDS = ("llc", "inc", "incorporated", "ltd", "limited", "pvt", "private", "company", "co", "corp", "corporation", "the", "of", "and")
 MIN_TOKEN = 4
+# Fixed value: a house number.
+HOUSE_NUMBER = r"(?:^|[\s,#])0*(\d{1,6})(?:[A-Za-z]?\b|[-/ ])"
 # Digits read as letters in mixed tokens.
 LEET_FROM, LEET_TO = "01345678", "oleasgtb"
 ORDINAL = r"^[0-9]+(er|ere|eme|e|st|nd|rd|th|hr)$"
@@ -73,7 +75,7 @@ def name_words(c: Column) -> Column:
 
 def house_number(c: Column) -> Column:
     """The number at the start of an address or after a blank, comma or number sign; leading zeros don't count."""
-    return F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:^|[\s,#])0*(\d{1,6})(?:[A-Za-z]?\b|[-/ ])", 1), F.lit("")), F.lit("999999")).cast("long")
+    return F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), HOUSE_NUMBER, 1), F.lit("")), F.lit("999999")).cast("long")
 
 
 def sample_bucket(c: Column, n: int) -> Column:
