@@ -59,11 +59,6 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidied(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of queries that are done: it does so once the driver has collected their plans."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def one_each(docs: DataFrame) -> DataFrame:
     """Rows (id, text) with the least text of each id; as they are where no id repeats (one count of the ids)."""
     if docs.groupBy("id").count().filter("count > 1").isEmpty():
