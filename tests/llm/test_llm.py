@@ -427,6 +427,44 @@ def test_substrings_equal_ids(spark):
     assert got == {(1, 0, 80, 1), (2, 0, 80, 1)}
 
 
+def test_substrings_rounds_leave_no_shuffle_files(spark):
+    """The rounds' shuffle files go as they end, so that those of one query at a time lie on disk; the result reads again."""
+    given, _ = _passage_docs()
+    env, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {name for name in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+    before, conf = files(), spark.conf.get(key)
+    df = substrings.repeated_passages(spark.createDataFrame(list(given.items()), "doc_id long, text string"))
+    assert not files() - before and spark.conf.get(key) == conf
+    assert sorted(df.collect()) == sorted(df.collect()) and df.count() > 0
+
+
+def test_substrings_in_turns(spark, monkeypatch):
+    """More pairs than documents are confirmed in several turns, each pair in one, with the rows of a single turn."""
+    r = random.Random(31)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    lead, given = [fresh(60) for _ in range(40)], {}
+    for i in range(40):
+        given[i] = lead[i]
+    for i in range(40, 70):  # each holds the passages of four documents of lower id
+        given[i] = sum((fresh(20) + lead[j] for j in r.sample(range(40), 4)), fresh(5))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id long, text string")
+    confirmed, turns = substrings._confirmed, []
+
+    def seen(docs, hubs, pairs):
+        turns.append([tuple(x) for x in pairs.collect()])
+        return confirmed(docs, hubs, pairs)
+
+    monkeypatch.setattr(substrings, "_confirmed", seen)
+    monkeypatch.setattr(substrings, "TURN", 20)
+    rows = sorted(substrings.repeated_passages(df).collect())
+    pairs = [p for t in turns for p in t]
+    assert len([t for t in turns if t]) > 2 and len(pairs) == len(set(pairs))
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)  # also with pairs and candidates fetched by shuffle
+    assert sorted(substrings.repeated_passages(df).collect()) == rows
+    held = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in given.items()}
+    assert {x.id for x in rows} == {i for i in held if any(len(held[i] & held[o]) >= 46 for o in held if o != i)}
+
+
 def test_substrings_all_places():
     r = random.Random(5)
     fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
